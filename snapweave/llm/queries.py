@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapweave.llm import ann, bpe, chat, packing, warc
+from snapweave.llm import ann, bpe, chat, jaccard, packing, warc
 from snapweave.llm._common import new_path, table, written
 
 
@@ -62,9 +62,13 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_chat, op7_warc, op8_ann, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_chat, op7_warc, op8_ann, op9_jaccard, op10_pack)}
 ORACLES: dict[str, str] = {"op3_chat": ORACLE_OP3, "op7_warc": ORACLE_OP7}
