@@ -13,6 +13,7 @@ assignment is one join of the pieces with the list of patterns.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -27,7 +28,7 @@ from snapweave.llm._common import chunks, written
 
 MEMO = 400_000
 #: Rows per block when ranks are counted: a block's rows are ranked in one task.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 50_000
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
@@ -55,8 +56,10 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, batches: Iter
             known.clear()
             new = set().union(*words)
         new = list(new)
-        for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        ids = [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
+        ends = (4 * np.cumsum([len(i) for i in ids], dtype=np.int64)).tolist()
+        known.update((w, flat[a:b]) for w, a, b in zip(new, [0, *ends], ends))
         rows = []
         for key, ws in zip(keys, words):
             ids = b"".join(map(known.__getitem__, ws)) + last
