@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapweave.llm import ann, bpe, chat, jaccard, packing, warc
+from snapweave.llm import ann, bpe, chat, jaccard, packing, quality, warc
 from snapweave.llm._common import new_path, table, written
 
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, t, r, "\\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))], said.schema)
@@ -70,5 +74,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_chat, op7_warc, op8_ann, op9_jaccard, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_chat, op7_warc, op8_ann, op9_jaccard, op10_pack)}
 ORACLES: dict[str, str] = {"op3_chat": ORACLE_OP3, "op7_warc": ORACLE_OP7}
