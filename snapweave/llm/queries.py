@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapweave.llm import ann, bpe, chat, jaccard, packing, quality, warc
+from snapweave.llm import ann, bpe, chat, classifier, jaccard, packing, quality, warc
 from snapweave.llm._common import new_path, table, written
 
 
@@ -26,6 +26,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.reconstruct(chat.message_events(said.unionByName(more))))
 
 
+def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ORACLE_OP3 = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -74,5 +78,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_chat, op7_warc, op8_ann, op9_jaccard, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_chat, op4_classifier, op7_warc, op8_ann, op9_jaccard, op10_pack)}
 ORACLES: dict[str, str] = {"op3_chat": ORACLE_OP3, "op7_warc": ORACLE_OP7}
