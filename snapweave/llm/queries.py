@@ -51,7 +51,8 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    captures = warc.captures(warc.read(spark, path, bodies=False), with_body=False)
+    records = written(warc.read(spark, path, bodies=False), "records")
+    captures = warc.captures(records, with_body=False)
     flat = captures.select("record_id", "page_id", F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.digest").alias("payload_digest"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("target_id"))
     flat = written(flat, "captures")
     targets = flat.where("record_type = 'response'").select(F.col("record_id").alias("target_id"), F.col("page_id").alias("refers_to"))

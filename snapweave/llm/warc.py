@@ -9,6 +9,7 @@ joins the three kinds through these identifiers into one nested row per capture.
 from __future__ import annotations
 
 import functools
+import gzip
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -57,7 +58,7 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
 
 def write(pages: DataFrame, path: str, **columns: str) -> None:
-    """Archives of ``pages`` at ``path``, one file per ``FILE_RECORDS`` records or less.
+    """Compressed archives of ``pages`` at ``path``, one file per ``FILE_RECORDS`` records or less.
 
     Equal payloads of 1000 bytes or more: the largest page id is the response, the others
     revisit it. A null html is an empty payload, a null url an empty target; line breaks in
@@ -83,14 +84,14 @@ def write(pages: DataFrame, path: str, **columns: str) -> None:
     metadata = _record("metadata", [("WARC-Record-ID", _urn("metadata", page)), ("WARC-Concurrent-To", main), *common, ("Content-Type", F.lit("application/warc-fields"))], F.encode(F.concat(F.lit("page: "), page, F.lit(CRLF)), "UTF-8"))
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
     three = F.concat(request, end, F.when(F.col("target").isNull(), response).otherwise(revisit), end, metadata)
-    rows.select(three.cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS // 3).text(path)
+    rows.select(three.cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS // 3).option("compression", "gzip").text(path)
 
 
 def _parse(bodies: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["record_type", "record_id", "concurrent_to", "refers_to", "uri", "date", "digest", "payload_bytes", "body"]
     for batch in batches:
         for i in range(batch.num_rows):
-            whole, at, rows = batch.column(0)[i].as_py(), 0, []
+            whole, at, rows = gzip.decompress(batch.column(0)[i].as_py()), 0, []
             while at < len(whole):
                 end = whole.index(b"\r\n\r\n", at)
                 head = dict(x.split(": ", 1) for x in whole[at:end].decode("utf-8", "replace").split(CRLF)[1:])
