@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapweave.llm import ann, bpe, chat, classifier, jaccard, packing, quality, substrings, warc
+from snapweave.llm import ann, bpe, chat, classifier, jaccard, packing, pii, quality, substrings, warc
 from snapweave.llm._common import new_path, table, written
 
 
@@ -44,6 +44,10 @@ FROM said GROUP BY conv_id
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(table(spark, sf_dir, "documents"))
 
@@ -83,5 +87,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_chat, op4_classifier, op6_substrings, op7_warc, op8_ann, op9_jaccard, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_quality, op3_chat, op4_classifier, op5_pii, op6_substrings, op7_warc, op8_ann, op9_jaccard, op10_pack)}
 ORACLES: dict[str, str] = {"op3_chat": ORACLE_OP3, "op7_warc": ORACLE_OP7}
