@@ -55,7 +55,7 @@ _FIND = re.compile(
     r"|(?P<hexkey>\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}\b)"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\d]|\.\d))"
-    r"|(?P<card>(?<![\d-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\d-]))"
+    r"|(?P<card>(?<![\d-])(?=4|5[1-5]|3[47]|6011|65)[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\d)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\d)|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-]))"
     rf"|(?P<name>(?<!\w)(?:{_TITLE})\.? {_WORD}+(?:-{_WORD}+)?(?: {_WORD}+(?:-{_WORD}+)?)?)"
@@ -87,8 +87,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         kind, value = m.lastgroup, m[0]
         if kind == "iban" and not _iban_ok(value):
             continue
-        if kind == "card" and not 13 <= sum(map(str.isdigit, value)) <= 19:
-            continue
+        if kind == "card":
+            digits = "".join(filter(str.isdigit, value))
+            if not 13 <= len(digits) <= 19 or int(digits[-1]) != luhn(digits[:-1]):
+                continue
         start, end = m.span()
         if kind == "name":
             title, *words = value.split(" ")
@@ -157,10 +159,10 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
         x = _permute(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, key, tweak.encode())
         return ".".join(map(str, x.to_bytes(4, "big")))
     if kind == "card":
-        digits = [c for c in value if c.isdigit()]
-        off = (int(digits[-1]) - luhn("".join(digits[:-1]))) % 10  # 0 if the check digit is right; kept
-        new = digits[0] + _same_form("".join(digits[1:-1]), key, f"{tweak}/{digits[0]}/{off}")
-        new += str((luhn(new) + off) % 10)
+        digits = "".join(filter(str.isdigit, value))
+        lead = digits[: 1 if digits[0] == "4" else 4 if digits.startswith("6011") else 2]
+        new = lead + _same_form(digits[len(lead) : -1], key, f"{tweak}/{lead}")
+        new += str(luhn(new))
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in value)
     if kind == "iban":
