@@ -3,9 +3,10 @@
 Sets are the distinct 5-word shingles of a text, as 64-bit hashes; equal sets
 count as one. Pairs are looked for where the rarest shingles of two sets meet:
 
-1. In the order of hashes, two similar sets share one of their first
-   ``n - ceil(0.8 n) + 1`` shingles. Sets that share none with another set are
-   done; for most texts that is all.
+1. In the order of hashes, two similar sets share ``k`` of their first
+   ``n - ceil(0.8 n) + k`` shingles. With ``k`` at ``EXTRA`` percent of the smaller
+   set, sets that share fewer of these with all other sets together are done; for
+   most texts that is all, and a passage that many texts share doesn't change it.
 2. For the others, shingles are counted and ordered from rare to frequent. Each
    shingle in a set's prefix is a posting. In each posting list, the set whose
    shingles are the most frequent on average (the likeliest original) is paired
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapweave.llm._common import chunks, written
+from snapweave.llm._common import chunks, semi_join, written
 from snapweave.llm._words import mix, shingles
 from snapweave.llm.graph import components
 
 FRAGMENTS = 4
+#: Percent of a set by which the first prefix is longer than one shared shingle needs; so many more must be shared.
+EXTRA = 5
 
 
 def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +52,7 @@ def _prefixes(k: int, percent: int, batches: Iterable[pa.RecordBatch]) -> Iterat
     for ids, texts in chunks(batches, 1, 1 << 20):
         docs, hashes, n, keys = _sets(texts, k)
         least = -(-percent * n // 100)
-        size = np.where(n > 0, n - least + 1, 0)
+        size = np.where(n > 0, n - least + np.maximum(1, EXTRA * n // 100), 0)
         place = np.arange(len(docs)) - (np.cumsum(n) - n)[docs]
         values = hashes[place < size[docs]]
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -89,14 +92,15 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     sets = written(docs.mapInArrow(functools.partial(_prefixes, k, percent), "doc_id long, n long, key long, prefix array<long>"), "prefixes")
 
-    distinct = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    distinct = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
     # a shingle's least and greatest set differ when two sets share it; both combine before the shuffle
     at = sets.where("n > 0").select("key", F.explode("prefix").alias("shingle"))
     shared = at.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("shingle")
-    near = at.join(shared, "shingle", "left_semi").select("key").distinct()
-    near = written(near.join(distinct, "key"), "near")
+    near = at.join(shared, "shingle", "left_semi").groupBy("key").agg(F.count_distinct("shingle").alias("shared"))
+    need = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(F.col("n") * percent / 100) / 100))  # the smallest possible partner's k
+    near = written(near.join(distinct, "key").where(F.col("shared") >= need).select("key", "least"), "near")
 
-    kept = docs.join(near.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+    kept = semi_join(docs, near.select(F.col("least").alias("doc_id")), "doc_id")
     found = kept.mapInArrow(functools.partial(_segments, k), "key long, n long, segments array<array<long>>")
     found = found.join(near.select("key"), "key", "left_semi")  # one id may stand on several texts, and rows may repeat
     found = written(found.groupBy("key").agg(F.first("n").alias("n"), F.first("segments").alias("segments")), "segments")
@@ -139,7 +143,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     more = written(_links(second, segments, percent), "links")
     labels = components(links.union(more)) if not more.isEmpty() else labels
 
-    names = distinct.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    names = distinct.drop("n").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     names = written(names, "names")
     least = names.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = names.join(least, "comp").select("key", "component_id")
