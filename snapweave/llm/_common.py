@@ -56,14 +56,18 @@ def text_bytes(col: str | Column) -> Column:
     return F.encode(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), "UTF-8")
 
 
-def semi_join(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
-    """``rows`` whose ``key`` is in ``keys``. A bitmap of hashed keys, ``2**bits`` bits whatever the data, first drops most other rows, so wide rows that don't match are not shuffled."""
+def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``keys``, by a bitmap of hashed keys: ``2**bits`` bits whatever the data, so wide rows that a join would drop need no shuffle."""
     place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    keys = keys.select(key)
     maps = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
     at = rows.withColumn("at_", place)
     met = at.join(F.broadcast(maps), F.bitmap_bucket_number("at_") == F.col("bucket"))  # at most 2**bits bits
     position = F.bitmap_bit_position("at_")
     byte = F.conv(F.hex(F.substring("bitmap", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return met.where(hit).select(*rows.columns).join(keys, key, "left_semi")
+    return met.where(hit).select(*rows.columns)
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys``, filtered by a bitmap before they are shuffled."""
+    return bitmap_filter(rows, keys, key).join(keys.select(key), key, "left_semi")

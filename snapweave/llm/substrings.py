@@ -2,12 +2,13 @@
 
 Every string of ``WIDTH`` bytes has an anchor: the ``GRAM``-byte string of least
 hash in it (the leftmost of several). Equal strings have equal anchors at equal
-places, so only strings whose anchor occurs twice can repeat. Consecutive starts
-with one anchor form a piece; each start is in exactly one piece.
+places. Consecutive starts with one anchor form a piece; each start is in exactly
+one piece.
 
-1. Anchors are counted; those that occur twice are joined to their documents,
-   whose texts give the pieces.
-2. Equal pieces are told by hash: all but the first are repeated as a whole.
+1. Pieces that are equal to one before them, told by hash, are repeated as a
+   whole: first inside a few megabytes, then, dealt by anchor and sorted, in all.
+2. Texts that hold the first of a piece whose anchor has other pieces too give
+   the bytes of these pieces.
 3. The first of each piece goes, with the other pieces of its anchor, into a
    batch of bounded size. The batch's text is cut behind white space into tokens,
    its suffix array is built by ``gsaca`` over the tokens' ranks. Strings are equal
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapweave.llm._common import written
+from snapweave.llm._common import bitmap_filter, chunks, written
 from snapweave.llm._words import _SPACE, mix, prefix_sums, slice_hashes
 from snapweave.llm.gsaca import suffix_array
 
@@ -74,30 +75,19 @@ def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, count, gram[place[new]].view(np.int64), slice_hashes(sums, first, first + count + WIDTH - 1).view(np.int64)
 
 
-def _texts(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Rows (all but the last column) and unpacked bytes (the last), a few megabytes at a time."""
-    unpack = zstandard.ZstdDecompressor()
-    rows, raw, size = [], [], 0
-    for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        for row in zip(*cols):
-            data = unpack.decompress(row[-1])
-            rows.append(row[:-1])
-            raw.append(data)
-            size += len(data)
-            if size >= most:
-                yield rows, raw
-                rows, raw, size = [], [], 0
-    if rows:
-        yield rows, raw
+_LEAST = -(1 << 63)
+
+
+def _mark(text: bytes) -> int:
+    return zlib.crc32(text) - (1 << 31)
 
 
 def _pack(carried: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
         raw = [(t or "").encode() for t in b.column(1).to_pylist()]
-        ids = [-(1 << 63) if i is None else i for i in b.column(0).to_pylist()]
-        marks = pa.array([zlib.crc32(t) - (1 << 31) for t in raw], pa.int32())
+        ids = [_LEAST if i is None else i for i in b.column(0).to_pylist()]
+        marks = pa.array(map(_mark, raw), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), marks, *[b.column(2 + i) for i in range(carried)], pa.array([pack.compress(t) for t in raw], pa.binary())], names=["d", "t", *[f"c{i}" for i in range(carried)], "z"])
 
 
@@ -106,41 +96,104 @@ def _joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
 
 
-def _anchors(where: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of packed texts; with ``where`` also their pieces' places."""
-    for rows, raw in _texts(batches):
+def _pieces(whole: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of texts (columns id, text), a few megabytes at a time.
+
+    A piece that occurs earlier among the same megabytes is repeated whatever else there is.
+    With ``whole``: the ranges of those, merged. Without: the others, to be compared.
+    """
+    for ids, texts in chunks(batches, 1, 1 << 20):
+        raw = [(t or "").encode() for t in texts]
         data, ends = _joined(raw)
-        first, count, anchor, _ = pieces(data, ends)
-        if not where:
-            yield pa.RecordBatch.from_arrays([pa.array(anchor)], names=["anchor"])
-            continue
+        first, count, anchor, piece = pieces(data, ends)
         doc = np.searchsorted(ends, first, side="right")
-        ids, marks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-        starts = first - np.concatenate([[0], ends[:-1]])[doc]
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[doc]), pa.array(marks[doc]), pa.array(starts), pa.array(count.astype(np.int32))], names=["anchor", "d", "t", "a", "n"])
+        d = np.array([_LEAST if i is None else i for i in ids], np.int64)
+        t = np.array([_mark(x) for x in raw], np.int32)
+        a = first - np.concatenate([[0], ends[:-1]])[doc]
+        order = np.lexsort((a, t[doc], d[doc], piece, anchor))
+        again = np.zeros(len(order), bool)
+        if len(order):  # rows of one id and text are one document, so they don't repeat each other
+            x, y = order[:-1], order[1:]
+            same = (anchor[x] == anchor[y]) & (piece[x] == piece[y])
+            group = np.concatenate([[0], np.cumsum(~same)])
+            lead = order[np.flatnonzero(np.concatenate([[True], ~same]))][group]
+            again[order] = (d[doc[lead]] != d[doc[order]]) | (t[doc[lead]] != t[doc[order]]) | (a[lead] != a[order])
+        if whole:
+            runs = _runs_of(doc[again], a[again], a[again] + count[again] + WIDTH - 1)
+            rows = list({(int(d[k]), int(t[k]), s, e) for k, s, e in runs})
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["d", "t", "start", "end"])
+        else:
+            k = ~again
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(piece[k]), pa.array(d[doc[k]]), pa.array(t[doc[k]]), pa.array(a[k] << 8 | count[k])], names=["anchor", "piece", "d", "t", "at"])
+
+
+def _runs_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+    """Ranges, in order, merged where they touch inside one text."""
+    out: list[list[int]] = []
+    for k, s, e in zip(doc.tolist(), start.tolist(), end.tolist()):
+        if out and out[-1][0] == k and s <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], e)
+        else:
+            out.append([k, s, e])
+    return [(k, s, e) for k, s, e in out]
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, piece and place. Out: pieces that occurred before (``salt`` null), and the first of each piece whose anchor has several."""
+    last = None  # the previous row
+    held = None  # the first piece of the current anchor, as long as it is the only one
+    number = 0  # of the current piece in its anchor
+    names = ["anchor", "d", "t", "at", "salt"]
+    for b in batches:
+        anchor, piece, d, t, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if not len(anchor):
+            continue
+        before = [np.concatenate([[v], c[:-1]]) for v, c in zip(last or (0,) * 5, (anchor, piece, d, t, at))]
+        new_anchor = anchor != before[0]
+        new_piece = new_anchor | (piece != before[1])
+        if last is None:
+            new_anchor[0] = new_piece[0] = True
+        equal = ~new_piece & (d == before[2]) & (t == before[3]) & (at == before[4])
+        lead = np.flatnonzero(new_piece)
+        if last is None or new_piece[0]:
+            lead_of = lead[np.cumsum(new_piece) - 1]
+            first_same = (d == d[lead_of]) & (t == t[lead_of]) & (at == at[lead_of])
+        else:
+            lead_of = np.concatenate([[-1], lead])[np.cumsum(new_piece)]
+            l = [np.where(lead_of >= 0, c[lead_of], v) for c, v in zip((d, t, at), first)]
+            first_same = (d == l[0]) & (t == l[1]) & (at == l[2])
+        rows = [(anchor[i], d[i], t[i], at[i], None) for i in np.flatnonzero(~new_piece & ~equal & ~first_same).tolist()]
+        for i in lead.tolist():
+            row = (anchor[i], d[i], t[i], at[i])
+            if new_anchor[i]:
+                held, number = row, 0
+                continue
+            number += 1
+            if held is not None:
+                rows.append((*held, 0))
+                held = None
+            rows.append((*row, number // GROUP))
+        if len(lead):
+            first = (d[lead[-1]], t[lead[-1]], at[lead[-1]])
+        last = (anchor[-1], piece[-1], d[-1], t[-1], at[-1])
+        cols = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces at given places: their hash, and their bytes the first time this task sees them."""
-    seen: set[int] = set()
-    names = ["anchor", "piece", "d", "t", "a", "n", "data"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    for rows, raw in _texts(batches):
+    """Bytes of the pieces at given places of packed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
         out = []
-        for (d, t, places), text in zip(rows, raw):
-            data = np.frombuffer(text, np.uint8)
-            first = np.array([p["a"] for p in places], np.int64)
-            count = np.array([p["n"] for p in places], np.int64)
-            hashes = slice_hashes(prefix_sums(data), first, first + count + WIDTH - 1).view(np.int64).tolist()
-            for p, h in zip(places, hashes):
-                new = h not in seen
-                if new:
-                    seen.add(h)
-                out.append((p["anchor"], h, d, t, p["a"], p["n"], text[p["a"] : p["a"] + p["n"] + WIDTH - 1] if new else None))
-        if len(seen) > 500_000:
-            seen.clear()
-        cols = list(zip(*out)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+        for d, t, places, z in zip(*[c.to_pylist() for c in b.columns]):
+            text = unpack.decompress(z)
+            for p in places:
+                a, n = p["at"] >> 8, p["at"] & 255
+                out.append((p["anchor"], p["salt"], d, t, a, text[a : a + n + WIDTH - 1]))
+        cols = list(zip(*out)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["anchor", "salt", "d", "t", "a", "data"])
 
 
 def tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +332,7 @@ def _kept(carried: int, with_text: bool, batches: Iterable[pa.RecordBatch]) -> I
             rows.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
         cols = list(zip(*rows)) or [[]] * (4 + with_text)
         kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
-        ids = pa.array([None if i == -(1 << 63) else i for i in b.column(0).to_pylist()], pa.int64())
+        ids = pa.array([None if i == _LEAST else i for i in b.column(0).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([ids, *[b.column(1 + i) for i in range(carried)], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", *[f"c{i}" for i in range(carried)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + carried + with_text])
 
 
@@ -296,31 +349,30 @@ def remove(df: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", t
     kinds = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carry)]
     doc = [T.StructField("d", T.LongType()), T.StructField("t", T.IntegerType())]
     packed = rows.mapInArrow(functools.partial(_pack, len(carry)), T.StructType([*doc, *kinds, T.StructField("z", T.BinaryType())]))
-    plain = df.select(df[id_col].cast("long").alias("d"), df[text_col].alias("text")).mapInArrow(functools.partial(_pack, 0), T.StructType([*doc, T.StructField("z", T.BinaryType())]))
-
-    once = plain.mapInArrow(functools.partial(_anchors, False), "anchor long")
-    shared = once.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    at = plain.mapInArrow(functools.partial(_anchors, True), "anchor long, d long, t int, a long, n int").join(shared, "anchor", "left_semi")
-    places = at.groupBy(*DOC).agg(F.collect_set(F.struct("a", "n", "anchor")).alias("places"))  # at most one a start
-    cut = plain.join(places, DOC).select("d", "t", "places", "z").mapInArrow(_cut, "anchor long, piece long, d long, t int, a long, n int, data binary")
-    cut = written(cut, "pieces")
-
-    first = F.min(F.struct("d", "t", "a")).alias("first")
-    firsts = cut.groupBy("anchor", "piece").agg(first, F.first("n").alias("n"), F.first("data", ignorenulls=True).alias("data"))
-    firsts = written(firsts, "firsts")
-    whole = cut.join(firsts.select("anchor", "piece", "first"), ["anchor", "piece"]).where(F.struct("d", "t", "a") != F.col("first"))
-    whole = whole.select("d", "t", F.col("a").alias("start"), (F.col("a") + F.col("n") + WIDTH - 1).alias("end"))
-
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
-    salts = F.ceil(F.col("pieces") / GROUP)
-    dealt = firsts.join(several, "anchor").withColumns({"salt": F.pmod(F.xxhash64("piece"), salts).cast("int"), "split": salts > 1})
-    dealt = dealt.select("anchor", "salt", "split", "first.d", "first.t", "first.a", "data").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    plain = rows.select("d", "text")
+
+    near = plain.mapInArrow(functools.partial(_pieces, True), "d long, t int, start long, end long")
+    rest = plain.mapInArrow(functools.partial(_pieces, False), "anchor long, piece long, d long, t int, at long")
+    # equal pieces of a few megabytes are one row by now, so an anchor has a row per megabytes at most where its pieces are equal
+    rest = rest.repartition("anchor").sortWithinPartitions("anchor", "piece", "d", "t", "at")
+    rest = written(rest.mapInArrow(_compare, "anchor long, d long, t int, at long, salt int"), "pieces")
+    start = F.shiftright("at", 8)
+    whole = rest.where("salt is null").select("d", "t", start.alias("start"), (start + F.col("at").bitwiseAND(F.lit(255)) + WIDTH - 1).alias("end"))
+
+    firsts = rest.where("salt is not null")
+    split = firsts.where("salt > 0").select("anchor").distinct().withColumn("split", F.lit(True))
+    places = firsts.groupBy(*DOC).agg(F.collect_set(F.struct("anchor", "salt", "at")).alias("places"))  # at most one a start
+    places = written(places, "places")
+    texts = rows.select("d", "text").mapInArrow(functools.partial(_pack, 0), T.StructType([*doc, T.StructField("z", T.BinaryType())]))
+    cut = bitmap_filter(texts, places, "d").join(places, DOC).select("d", "t", "places", "z")
+    cut = cut.mapInArrow(_cut, "anchor long, salt int, d long, t int, a long, data binary").join(split, "anchor", "left")
+    dealt = cut.select("anchor", "salt", F.col("split").isNotNull().alias("split"), "d", "t", "a", "data").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     found = written(dealt.mapInArrow(_sorted_batches, "d long, t int, start long, end long, string long"), "found")
     inside = found.where("string is null").drop("string")
     met = found.where("string is not null").groupBy("string").agg(F.min(F.struct("d", "t", "start")).alias("least"), F.collect_list(F.struct("d", "t", "start", "end")).alias("all"))  # one a batch
     later = met.where(F.size("all") > 1).select("least", F.explode("all").alias("x")).where(F.struct("x.d", "x.t", "x.start") != F.col("least")).select("x.*")
 
-    ranges = whole.unionByName(inside).unionByName(later).groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    ranges = near.unionByName(whole).unionByName(inside).unionByName(later).groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     both = packed.join(ranges, DOC, "left").select("d", *[f"c{i}" for i in range(len(carry))], "ranges", "z")
     out = [T.StructField("doc_id", T.LongType()), *kinds, *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
     out += [T.StructField("kept_text", T.StringType())] * with_text
