@@ -1,4 +1,431 @@
-"""Registered queries over the driver's tables, each with its DuckDB counterpart."""
+"""Registered queries over the driver's tables, each with its DuckDB counterpart.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A query applies an operator of the library to views of the tables; its counterpart
+is written on its own in SQL. Timestamps are taken against a fixed ``NOW``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from snapweave.functions import codec, globs, refs
+from snapweave.operators import account, blocks, chunks, clean, reconcile, retain, verify
+from snapweave.plans import views as v
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+NOW = "2024-01-31 00:00:00"
+AS_OF = "2002-01-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _ntz(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+# Blocks and deduplication
+
+
+@query(f"WITH {v.BLOCKS} SELECT checksum, block_size, count(*) AS refs, min(doc_id) AS first_owner, CAST(sum(block_size) AS BIGINT) AS logical_bytes, block_size AS stored_bytes FROM blocks GROUP BY checksum, block_size")
+def block_dedup(spark, sf):
+    return blocks.dedup_report(v.blocks(spark, sf))
+
+
+@query(f"WITH {v.BLOCKS} SELECT doc_id, pos, checksum, block_size, row_number() OVER (PARTITION BY checksum, block_size ORDER BY doc_id, pos) = 1 AS is_new FROM blocks")
+def block_first_owner(spark, sf):
+    return blocks.first_owner(v.blocks(spark, sf), ("doc_id", "pos")).select("doc_id", "pos", "checksum", "block_size", "is_new")
+
+
+def _index(spark, sf):
+    """A block index as an earlier run would have left it: the first halves of the sources' blocks, a third of them expired into groups."""
+    b = v.blocks(spark, sf).where("doc_id % 2 = 0")
+    return b.select((F.col("doc_id") * 1000 + F.col("pos")).alias("blockid"), (F.col("doc_id") % 50).alias("segmentid"), F.lower(F.lpad(F.hex(F.col("doc_id") * 1000 + F.col("pos")), 8, "0")).alias("object"), "checksum", F.col("block_size").alias("size"), _ntz(NOW).alias("timestamp"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 4).cast("int")).alias("expired"))
+
+
+_INDEX = "idx AS (SELECT doc_id * 1000 + pos AS blockid, doc_id % 50 AS segmentid, checksum, block_size AS size, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 4 AS INTEGER) END AS expired FROM blocks WHERE doc_id % 2 = 0)"
+_DECIDED = f"""{v.BLOCKS}, {_INDEX},
+live AS (SELECT checksum, size, min(blockid) AS blockid FROM idx WHERE expired IS NULL GROUP BY 1, 2),
+old AS (SELECT checksum, size, arg_min(expired, blockid) AS expired FROM idx WHERE expired IS NOT NULL GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY checksum, block_size ORDER BY doc_id, pos) AS rn FROM blocks),
+decided AS (
+  SELECT doc_id, pos, CASE WHEN trim(block) = '' THEN 'zero' WHEN live.blockid IS NOT NULL THEN 'reuse' WHEN rn > 1 THEN 'repeat' WHEN old.expired IS NOT NULL THEN 'rewrite' ELSE 'new' END AS decision, old.expired AS age_group
+  FROM ranked LEFT JOIN live ON ranked.checksum = live.checksum AND block_size = live.size LEFT JOIN old ON ranked.checksum = old.checksum AND block_size = old.size)"""
+
+
+def _decided(spark, sf):
+    rows = v.blocks(spark, sf).withColumn("zero", F.trim("block") == "")
+    return blocks.decide(rows, _index(spark, sf), ("doc_id", "pos"))
+
+
+@query(f"WITH {_DECIDED} SELECT doc_id, pos, decision, CASE WHEN decision IN ('rewrite', 'new') THEN CASE WHEN age_group > 0 THEN 'compacted-' || age_group ELSE 'data' END END AS \"group\" FROM decided")
+def block_decision(spark, sf):
+    return _decided(spark, sf).select("doc_id", "pos", "decision", "group")
+
+
+@query(f"WITH {_DECIDED} SELECT doc_id, CASE WHEN max(CASE WHEN decision = 'new' THEN 1 ELSE 0 END) = 1 THEN 'new' WHEN max(CASE WHEN decision = 'rewrite' THEN 1 ELSE 0 END) = 1 THEN 'partial' ELSE 'old' END AS status, count(*) AS blocks FROM decided GROUP BY doc_id")
+def file_status(spark, sf):
+    return blocks.file_status(_decided(spark, sf), "doc_id")
+
+
+@query("SELECT doc_id, n % 3 = 0 AS is_zero, CASE WHEN n % 3 = 0 THEN 'zero[' || n || ']' ELSE sha1(encode(text)) END AS stored FROM (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0)")
+def zero_blocks(spark, sf):
+    """Every third text is taken as zero bytes of its length."""
+    rows = v.table(spark, sf, "documents").where(F.length("text") > 0).withColumn("n", F.length("text"))
+    data = F.when(F.col("n") % 3 == 0, F.unhex(F.repeat(F.lit("00"), F.col("n")))).otherwise(F.encode("text", "UTF-8"))
+    rows = rows.withColumn("data", data).withColumn("is_zero", blocks.is_zero(F.col("data")))
+    return rows.select("doc_id", "is_zero", F.when(F.col("is_zero"), F.concat(F.lit("zero["), F.length("data"), F.lit("]"))).otherwise(F.sha1("data")).alias("stored"))
+
+
+# Accounting, cleaning, garbage
+
+
+@query(f"WITH {v.REFERENCES}, {v.USED} SELECT * FROM used")
+def use_object(spark, sf):
+    return account.use_objects(v.references(spark, sf))
+
+
+@query(f"WITH {v.REFERENCES}, {v.USED}, {v.BYTES} SELECT * FROM bytes")
+def segment_bytes(spark, sf):
+    return account.segment_bytes(account.use_objects(v.references(spark, sf)))
+
+
+def _utilization(spark, sf, chosen=None):
+    used = account.segment_bytes(account.use_objects(v.references(spark, sf)))
+    return account.utilization(used, v.segment_sizes(spark, sf), chosen)
+
+
+@query(f"WITH {v.REFERENCES}, {v.USED}, {v.BYTES}, {v.SIZES} SELECT segmentid, max(bytes_referenced) AS bytes_referenced, any_value(data_size) AS data_size, round(max(bytes_referenced) / any_value(data_size)::DOUBLE, 6) AS utilization FROM bytes JOIN sizes USING (segmentid) WHERE snapshotid IN (10, 20, 30, 40, 50, 60, 70, 80, 90, 100) GROUP BY segmentid")
+def segment_utilization(spark, sf):
+    return _utilization(spark, sf, list(range(10, 101, 10))).withColumn("utilization", F.round("utilization", 6))
+
+
+@query(f"WITH {v.REFERENCES}, {v.USED}, {v.BYTES}, {v.SIZES}, u AS (SELECT segmentid, max(bytes_referenced) / any_value(data_size)::DOUBLE AS u FROM bytes JOIN sizes USING (segmentid) GROUP BY segmentid) SELECT segmentid, round(u, 6) AS utilization FROM u WHERE u < 0.4")
+def clean_candidates(spark, sf):
+    return clean.low_utilization(_utilization(spark, sf)).select("segmentid", F.round("utilization", 6).alias("utilization"))
+
+
+def _rated(spark, sf):
+    age = F.date_diff(_ntz(AS_OF).cast("date"), F.col("timestamp").cast("date")).cast("double")
+    return _utilization(spark, sf).join(v.segments(spark, sf), "segmentid").select("segmentid", F.col("bytes_referenced").alias("used"), F.col("data_size").alias("size"), age.alias("age"))
+
+
+@query(
+    f"WITH {v.REFERENCES}, {v.USED}, {v.BYTES}, {v.SIZES}, u AS (SELECT segmentid, max(bytes_referenced) AS used, any_value(data_size) AS size FROM bytes JOIN sizes USING (segmentid) GROUP BY segmentid), "
+    "r AS (SELECT segmentid, used / size::DOUBLE AS x, date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS age FROM u JOIN orders ON segmentid = o_orderkey) "
+    "SELECT segmentid, round((1 - x) * age / (x + 0.1), 6) AS benefit FROM r WHERE (1 - x) * age / (x + 0.1) > 7"
+)
+def clean_benefit(spark, sf):
+    return clean.cleaning_list(_rated(spark, sf)).select("segmentid", F.round("benefit", 6).alias("benefit"))
+
+
+@query("SELECT CAST(round(epoch(TIMESTAMP '2024-01-31 00:00:00' - least(ts, TIMESTAMP '2024-01-31 00:00:00')) / 86400.0) AS BIGINT) AS age, count(*) AS objects, CAST(sum(event_id % 1000) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def age_histogram(spark, sf):
+    rows = v.table(spark, sf, "events").select(F.col("ts").alias("timestamp"), (F.col("event_id") % 1000).alias("size"))
+    return clean.age_histogram(rows, _ntz(NOW))
+
+
+@query()
+def age_buckets(spark, sf):
+    """Expired blocks dealt into groups by age; cutoffs come from the histogram."""
+    rows = v.table(spark, sf, "events").select(F.col("event_id").alias("blockid"), (F.col("event_id") % 97).alias("segmentid"), (F.col("event_id") % 1000).alias("size"), F.col("ts").alias("timestamp"), F.when(F.col("event_id") % 3 > 0, 0).alias("expired"))
+    sizes = rows.groupBy("segmentid").agg(F.sum("size").alias("data_size"))
+    return clean.balance_expired(rows, sizes, _ntz(NOW)).select("blockid", "expired")
+
+
+@query(
+    "WITH s AS (SELECT event_id AS snapshotid FROM events WHERE event_id % 3 > 0), u AS (SELECT l_suppkey AS snapshotid, l_orderkey AS segmentid FROM lineitem WHERE l_suppkey IN (SELECT snapshotid FROM s)), "
+    "g AS (SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT segmentid FROM u)) "
+    "SELECT 'segment_utilization' AS table_name, count(*) AS kept FROM u UNION ALL SELECT 'segments', count(*) FROM g "
+    "UNION ALL SELECT 'block_index', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM g) "
+    "UNION ALL SELECT 'subblock_signatures', count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM g))"
+)
+def gc_cascade(spark, sf):
+    lines = v.table(spark, sf, "lineitem")
+    kept = clean.collect_garbage(
+        v.snapshots(spark, sf).where("snapshotid % 3 > 0"),
+        lines.select(F.col("l_suppkey").alias("snapshotid"), F.col("l_orderkey").alias("segmentid")),
+        v.segments(spark, sf),
+        lines.select(F.col("l_partkey").alias("blockid"), F.col("l_orderkey").alias("segmentid")),
+        v.table(spark, sf, "part").select(F.col("p_partkey").alias("blockid")),
+    )
+    counts = [df.agg(F.count("*").alias("kept")).select(F.lit(name).alias("table_name"), "kept") for name, df in kept.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 0 ELSE CASE WHEN l_linenumber = 1 THEN 2 END END AS expired FROM lineitem")
+def mark_expired(spark, sf):
+    rows = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segmentid"), "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") == 1, 2).alias("expired"))
+    done = v.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("segmentid"))
+    return clean.mark_expired(rows, done).withColumnRenamed("segmentid", "l_orderkey")
+
+
+@query("SELECT snapshotid, scheme, rn = 1 OR NOT (intent < greatest(7, before) OR intent = 7) AS keep FROM (SELECT event_id AS snapshotid, event_type AS scheme, CAST(floor(value) AS BIGINT) % 30 AS intent, row_number() OVER w AS rn, max(CAST(floor(value) AS BIGINT) % 30) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts DESC, event_id DESC))")
+def prune_by_intent(spark, sf):
+    rows = v.table(spark, sf, "events").select(F.col("event_id").alias("snapshotid"), F.col("event_type").alias("scheme"), (F.floor("value") % 30).alias("intent"), (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("age"))
+    return clean.prune_by_intent(rows, 7).select("snapshotid", "scheme", "keep")
+
+
+# Retention
+
+_POLICY = {"yearly": 400 * 86400, "monthly": 100 * 86400, "weekly": 14 * 86400, "daily": 5 * 86400, "all": 86400}
+_LABELS = (
+    f"{v.SNAPSHOTS}, parts AS (" + " UNION ALL ".join(f"SELECT scheme, snapshotid, timestamp, '{c}' AS class, {p} AS period, {'timestamp' if c == 'all' else f"date_trunc('{dict(yearly='year', monthly='month', weekly='week', daily='day')[c]}', timestamp)"} AS part FROM snapshots" for c, p in _POLICY.items()) + "), "
+    f"labelled AS (SELECT scheme, class, snapshotid, timestamp, epoch(TIMESTAMP '{NOW}' - timestamp) < period AS retained FROM (SELECT *, row_number() OVER (PARTITION BY scheme, class, part ORDER BY timestamp, snapshotid) AS rn FROM parts) WHERE rn = 1)"
+)
+
+
+def _labelled(spark, sf):
+    return retain.labels(v.snapshots(spark, sf), _POLICY, _ntz(NOW))
+
+
+@query(f"WITH {_LABELS} SELECT * FROM labelled")
+def retention_labels(spark, sf):
+    return _labelled(spark, sf)
+
+
+@query(f"WITH {_LABELS} SELECT scheme, class, snapshotid, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY scheme, class ORDER BY timestamp DESC, snapshotid DESC) AS rn FROM labelled) WHERE rn = 1 AND retained")
+def retention_last(spark, sf):
+    return retain.last_labelled(_labelled(spark, sf))
+
+
+_GONE = f"WITH {_LABELS}, gone AS (SELECT * FROM snapshots WHERE snapshotid NOT IN (SELECT snapshotid FROM labelled WHERE retained))"
+
+
+@query(f"{_GONE} SELECT * FROM gone WHERE snapshotid NOT IN (SELECT arg_max(snapshotid, (timestamp, snapshotid)) FROM snapshots GROUP BY scheme)")
+def retention_expired(spark, sf):
+    return retain.expired_names(v.snapshots(spark, sf), _labelled(spark, sf)).select("snapshotid", "scheme", "timestamp")
+
+
+@query(f"{_GONE} SELECT * FROM gone WHERE snapshotid NOT IN (SELECT arg_max(snapshotid, (timestamp, snapshotid)) FROM gone GROUP BY scheme)")
+def retention_expired_as_coded(spark, sf):
+    return retain.expired_names(v.snapshots(spark, sf), _labelled(spark, sf), "newest_expired").select("snapshotid", "scheme", "timestamp")
+
+
+@query(f"WITH {v.SNAPSHOTS} SELECT scheme, max(snapshotid) AS latest, count(*) AS snapshots FROM snapshots GROUP BY scheme")
+def latest_per_scheme(spark, sf):
+    return retain.latest(v.snapshots(spark, sf))
+
+
+_MEMBERS = "m AS (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS snapshot, l_orderkey AS segmentid, l_orderkey % 100 AS bytes FROM lineitem), n AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS n FROM (SELECT DISTINCT snapshot FROM m)), r AS (SELECT n, segmentid, bytes FROM m JOIN n USING (snapshot))"
+
+
+@query(
+    f"WITH {_MEMBERS}, a AS (SELECT n, count(*) AS added, sum(bytes) AS added_bytes FROM r WHERE (n - 1, segmentid) NOT IN (SELECT (n, segmentid) FROM r) GROUP BY n), "
+    "d AS (SELECT n + 1 AS n, count(*) AS removed, sum(bytes) AS removed_bytes FROM r WHERE (n + 1, segmentid) NOT IN (SELECT (n, segmentid) FROM r) GROUP BY n) "
+    "SELECT snapshot, coalesce(added, 0) AS added, CAST(coalesce(added_bytes, 0) AS BIGINT) AS added_bytes, coalesce(removed, 0) AS removed, CAST(coalesce(removed_bytes, 0) AS BIGINT) AS removed_bytes, "
+    "CAST(sum(coalesce(added_bytes, 0) - coalesce(removed_bytes, 0)) OVER (ORDER BY n) AS BIGINT) AS total_bytes FROM n LEFT JOIN a USING (n) LEFT JOIN d USING (n)"
+)
+def snapshot_sizes(spark, sf):
+    rows = v.table(spark, sf, "lineitem").select(F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("snapshot"), F.col("l_orderkey").alias("segmentid"), (F.col("l_orderkey") % 100).alias("bytes"))
+    return retain.size_series(rows.distinct())
+
+
+# Reconciling
+
+
+@query("SELECT o_orderkey AS name, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'keep' ELSE 'delete' END AS action FROM orders")
+def store_gc(spark, sf):
+    listed = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("name"))
+    return reconcile.store_split(listed, v.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("name")))
+
+
+@query("SELECT o_orderkey AS name, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def sync_plan(spark, sf):
+    source = v.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("name"), "o_totalprice")
+    return reconcile.sync_plan(source, v.table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("name")))
+
+
+@query("WITH a AS (SELECT DISTINCT l_partkey AS segment FROM lineitem WHERE l_quantity < 3), b AS (SELECT DISTINCT l_partkey AS segment FROM lineitem WHERE l_discount > 0.08) SELECT segment, 'error' AS finding FROM a WHERE segment NOT IN (SELECT segment FROM b) UNION ALL SELECT segment, 'warning' FROM b WHERE segment NOT IN (SELECT segment FROM a)")
+def verify_segments(spark, sf):
+    lines = v.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "segment")
+    return reconcile.verify_lists(lines.where("l_discount > 0.08"), lines.where("l_quantity < 3"))
+
+
+@query("SELECT l_partkey AS segment, string_agg(path, ',' ORDER BY path) AS paths FROM (SELECT DISTINCT l_partkey, CAST(l_orderkey AS VARCHAR) AS path FROM lineitem) GROUP BY 1")
+def inverted_index(spark, sf):
+    return reconcile.inverted_index(v.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("segment"), F.col("l_orderkey").cast("string").alias("path")))
+
+
+@query("SELECT sha256(text) AS inode, count(*) AS links, min(source || '/' || lang || '/' || doc_id) AS first_path FROM documents GROUP BY 1 HAVING count(*) > 1")
+def hardlinks(spark, sf):
+    return reconcile.hard_links(v.files(spark, sf).withColumn("inode", F.sha2(F.encode("content", "UTF-8"), 256)))
+
+
+@query("WITH r AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS r FROM (SELECT DISTINCT source || '/' || lang || '/' || doc_id AS name FROM documents)) SELECT r // 16 AS set_no, count(*) AS files, min(name) AS first, max(name) AS last, 1 + count(*) // 4 AS redundancy, 1 + count(*) // 8 AS least FROM r GROUP BY 1")
+def parity_groups(spark, sf):
+    return reconcile.parity_groups(v.files(spark, sf).withColumnRenamed("path", "name"))
+
+
+_SCANS = "f AS (SELECT user_id, event_type, event_id, ts, value FROM events), a AS (SELECT user_id AS path, max(event_id) AS inode, CAST(max(epoch(ts)) AS BIGINT) AS mtime, count(*) AS size FROM f GROUP BY 1), b AS (SELECT user_id AS path, max(event_id) AS inode, CAST(max(epoch(ts)) AS BIGINT) AS mtime, count(*) AS size FROM f WHERE ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1)"
+
+
+@query(f"WITH {_SCANS} SELECT a.path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.inode = b.inode AND a.mtime = b.mtime AND a.size = b.size THEN 'unchanged' ELSE 'changed' END AS state FROM a LEFT JOIN b USING (path)")
+def statcache_diff(spark, sf):
+    def scan(rows):
+        return rows.groupBy(F.col("user_id").alias("path")).agg(F.max("event_id").alias("inode"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("mtime"), F.count("*").alias("size"))
+
+    rows = v.table(spark, sf, "events")
+    return reconcile.changed(scan(rows), scan(rows.where("ts < '2024-01-25'")), fields=("mtime", "size", "inode")).select("path", "state")
+
+
+@query("SELECT o_custkey AS name, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS path FROM orders GROUP BY 1")
+def search_path(spark, sf):
+    """The first of ranked candidates for each customer that is looked for."""
+    orders = v.table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), F.struct("o_orderdate", "o_orderkey").alias("rank"), F.col("o_orderkey").alias("path"))
+    return reconcile.first_hit(v.table(spark, sf, "customer").select(F.col("c_custkey").alias("name")), orders)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def catalog_upsert(spark, sf):
+    rows = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return reconcile.upsert(rows, rows.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def catalog_insert_missing(spark, sf):
+    rows = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return reconcile.insert_missing(rows.where("o_orderkey % 5 > 0"), rows, ["o_orderkey"])
+
+
+# References, codecs, paths
+
+
+def _slices(spark, sf):
+    lines = v.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"), F.max("l_quantity").cast("long").alias("q"))
+    start = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_linenumber") - 1) * 10).otherwise(F.col("l_linenumber") * 10 - 10).cast("long")
+    return lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("pos"), F.lit("seg").alias("segment"), (F.col("s") % 2).cast("string").alias("object"), F.when(F.col("q") % 7 == 0, "c").alias("checksum"), start.alias("start"), F.lit(10).cast("long").alias("length"), (F.col("q") % 5 == 0).alias("exact"))
+
+
+@query(
+    "WITH l AS (SELECT l_orderkey AS file, l_linenumber AS pos, CAST(max(l_suppkey) % 2 AS VARCHAR) AS object, CASE WHEN CAST(max(l_quantity) AS BIGINT) % 7 = 0 THEN 'c' END AS checksum, CAST((l_linenumber - 1) * 10 AS BIGINT) AS start, CAST(10 AS BIGINT) AS length, CAST(max(l_quantity) AS BIGINT) % 5 = 0 AS exact FROM lineitem GROUP BY 1, 2), "
+    "b AS (SELECT *, CASE WHEN lag(object) OVER w = object AND lag(checksum) OVER w IS NOT DISTINCT FROM checksum AND lag(start + length) OVER w = start AND NOT exact AND NOT lag(exact) OVER w THEN 0 ELSE 1 END AS brk FROM l WINDOW w AS (PARTITION BY file ORDER BY pos)), "
+    "g AS (SELECT *, sum(brk) OVER (PARTITION BY file ORDER BY pos) AS run FROM b) "
+    "SELECT file, min(pos) AS first_pos, any_value(object) AS object, min(start) AS start, CAST(sum(length) AS BIGINT) AS length, count(*) AS parts FROM g GROUP BY file, run"
+)
+def coalesce_refs(spark, sf):
+    return blocks.coalesce_refs(_slices(spark, sf), "file", "pos").select("file", "first_pos", "object", "start", "length", "parts")
+
+
+_REF_TEXT = "CASE WHEN l_linenumber = 7 THEN 'zero[' || CAST(l_quantity AS BIGINT) || ']' ELSE lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || '-ab/' || lpad(CAST(l_linenumber AS VARCHAR), 8, '0') || CASE WHEN l_partkey % 3 = 0 THEN '(sha1=' || l_partkey || ')' ELSE '' END || CASE l_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '[' || CAST(l_quantity AS BIGINT) || ']' WHEN 2 THEN '[=' || CAST(l_quantity AS BIGINT) || ']' ELSE '[' || l_orderkey || '+' || CAST(l_quantity AS BIGINT) || ']' END END"
+
+
+def _ref_texts(spark, sf):
+    return v.table(spark, sf, "lineitem").select(F.expr(_REF_TEXT.replace("VARCHAR", "STRING")).alias("text"))
+
+
+@query(
+    f"SELECT text, CASE WHEN text LIKE 'zero%' THEN 'zero' ELSE 'normal' END AS kind, nullif(regexp_extract(text, '^([0-9a-f-]+)/', 1), '') AS segment, nullif(regexp_extract(text, '/([0-9a-f]+)', 1), '') AS object, nullif(regexp_extract(text, '\\(([^)]*)\\)', 1), '') AS checksum, "
+    f"CASE WHEN text LIKE '%+%' THEN CAST(regexp_extract(text, '\\[([0-9]+)\\+', 1) AS BIGINT) WHEN text LIKE '%[%' THEN 0 END AS start, CAST(nullif(regexp_extract(text, '([0-9]+)\\]$', 1), '') AS BIGINT) AS length, text LIKE '%[%' AND text NOT LIKE '%+%' AS exact FROM (SELECT {_REF_TEXT} AS text FROM lineitem)"
+)
+def parse_ref(spark, sf):
+    rows = _ref_texts(spark, sf).withColumn("r", refs.parse_ref(F.col("text")))
+    return rows.select("text", "r.kind", "r.segment", "r.object", "r.checksum", "r.start", "r.length", "r.exact")
+
+
+@query(f"SELECT text, replace(text, '[=', '[') AS printed FROM (SELECT {_REF_TEXT} AS text FROM lineitem)")
+def format_ref(spark, sf):
+    return _ref_texts(spark, sf).withColumn("r", refs.parse_ref(F.col("text"))).select("text", refs.format_ref(F.col("r")).alias("printed"))
+
+
+_RULES = globs.parse_rules("+ /*.example.com/**\n- *.example.net/\n- /m.*/**\n- 1*\n# comment\n")
+
+
+@query(f"WITH {v.PATHS} SELECT page_id, path, CASE " + " ".join(f"WHEN regexp_matches(path, '{r}') THEN {str(i).lower()}" for i, r in _RULES) + f" ELSE true END AS included FROM paths")
+def glob_filter(spark, sf):
+    return v.paths(spark, sf).withColumn("included", globs.included(F.col("path"), _RULES))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CASE WHEN h BETWEEN '2B' AND '7E' AND h <> '40' THEN decode(unhex(h)) ELSE '%' || lower(h) END), '') AS encoded FROM documents")
+def uri_encode(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", codec.uri_encode(F.col("text")).alias("encoded"))
+
+
+@query("SELECT doc_id, sha256(text) AS decoded_sha256 FROM documents")
+def uri_round_trip(spark, sf):
+    return v.table(spark, sf, "documents").select("doc_id", F.sha2(codec.uri_decode(codec.uri_encode(F.col("text"))), 256).alias("decoded_sha256"))
+
+
+@query("SELECT o_orderkey, o_orderkey AS from_decimal, o_orderkey AS from_octal, -o_orderkey AS from_hex FROM orders")
+def parse_int(spark, sf):
+    n = F.col("o_orderkey")
+    rows = v.table(spark, sf, "orders").select(n, codec.encode_int(n).alias("d"), codec.encode_int(n, 8).alias("o"), F.concat(F.lit("-"), codec.encode_int(n, 16)).alias("h"))
+    return rows.select(n, codec.parse_int(F.col("d")).alias("from_decimal"), codec.parse_int(F.col("o")).alias("from_octal"), codec.parse_int(F.col("h")).alias("from_hex"))
+
+
+@query("SELECT c_custkey, c_custkey AS id, c_name AS name FROM customer")
+def parse_user(spark, sf):
+    rows = v.table(spark, sf, "customer").select("c_custkey", codec.parse_user(F.concat("c_custkey", F.lit(" ("), "c_name", F.lit(")"))).alias("u"))
+    return rows.select("c_custkey", "u.id", "u.name")
+
+
+@query("SELECT event_id, event_type AS scheme, date_trunc('second', ts) AS timestamp FROM events")
+def snapshot_names(spark, sf):
+    name = F.concat_ws("-", "event_type", codec.format_snapshot_time(F.col("ts")))
+    return v.table(spark, sf, "events").select("event_id", codec.split_snapshot_name(name).alias("s")).select("event_id", "s.scheme", "s.timestamp")
+
+
+@query("SELECT event_id, CAST(floor((CAST(epoch_us(ts) AS DOUBLE) / 86400000000.0::DOUBLE + 2440587.5::DOUBLE) * 1000) AS BIGINT) AS julian_thousandths FROM events")
+def julian_days(spark, sf):
+    return v.table(spark, sf, "events").select("event_id", F.floor(codec.julian_day(F.col("ts")) * 1000).alias("julian_thousandths"))
+
+
+@query(f"WITH {v.PATHS} SELECT page_id, path, row_number() OVER (ORDER BY string_split(path, '/'), page_id) AS place FROM paths")
+def path_order(spark, sf):
+    """Place of each path when paths are compared component by component (a directory listing: a table of paths, ranked per leading component and offset)."""
+    from pyspark.sql import Window
+
+    rows = v.paths(spark, sf).withColumn("parts", F.split("path", "/")).withColumn("top", F.get("parts", F.lit(0)))
+    counts = rows.groupBy("top").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("top").orderBy("parts", "page_id"))
+    return rows.withColumn("own", own).join(before, "top").select("page_id", "path", (F.col("own") + F.col("before")).alias("place"))
+
+
+# Packing, chunks, verification
+
+
+@query(
+    "WITH RECURSIVE o AS (SELECT source, doc_id, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), "
+    "p AS (SELECT source, doc_id, size, rn, CAST(0 AS BIGINT) AS seg, CAST(0 AS BIGINT) AS no, size AS filled FROM o WHERE rn = 1 UNION ALL "
+    "SELECT o.source, o.doc_id, o.size, o.rn, CASE WHEN p.filled >= 20000 THEN p.seg + 1 ELSE p.seg END, CASE WHEN p.filled >= 20000 THEN 0 ELSE p.no + 1 END, CASE WHEN p.filled >= 20000 THEN o.size ELSE p.filled + o.size END FROM p JOIN o ON o.source = p.source AND o.rn = p.rn + 1) "
+    'SELECT source AS "group", doc_id, size, seg AS segment_no, no AS object_no FROM p'
+)
+def segment_pack(spark, sf):
+    rows = v.table(spark, sf, "documents").select(F.col("source").alias("group"), "doc_id", F.col("n_chars").alias("size"))
+    return blocks.pack_segments(rows, 20000, order=("doc_id",), slots=1).select("group", "doc_id", "size", "segment_no", "object_no")
+
+
+@query()
+def chunk_incremental(spark, sf):
+    """Each text against itself with its first 3,000 characters gone: what is stored of it."""
+    rows = v.table(spark, sf, "documents").where(F.length("text") > 6000)
+    new = chunks.chunked(rows.select(F.col("doc_id").alias("file"), F.lit(0).alias("pos"), "text"), ("file", "pos"), "text")
+    old = chunks.chunked(rows.select(F.col("doc_id").alias("file"), F.substring("text", 3001, 1 << 30).alias("text")), ("file",), "text")
+    old = old.withColumns({"segment": F.lit("old"), "object": F.lpad(F.lower(F.hex("file")), 8, "0")})
+    return chunks.incremental(chunks.matched(new, old))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file, CAST(octet_length(encode(text)) AS BIGINT) AS size, 'sha256=' || sha256(text) AS checksum FROM documents WHERE length(text) > 0")
+def content_verify(spark, sf):
+    out = verify.content_digest(v.blocks(spark, sf).select("doc_id", "pos", F.encode("block", "UTF-8").alias("content")), "doc_id", "pos", algorithm="sha256")
+    return out.select("file", "size", "checksum")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file, sha1(encode(substring(text, 501, 2000))) AS digest FROM documents WHERE length(text) > 500")
+def byte_range(spark, sf):
+    """Characters 500 to 2,500 of each text, read through its blocks."""
+    parts = v.blocks(spark, sf).select("doc_id", "pos", F.col("block").alias("content"))
+    out = verify.content_digest(blocks.byte_range(parts, "doc_id", "pos", 500, 2000), "doc_id", "pos", "slice", "sha1")
+    return out.select("file", F.substring("checksum", 6, 40).alias("digest"))
