@@ -69,13 +69,17 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def ftrl(texts: list[bytes], labels: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
     """Weights after ``epochs`` passes of FTRL-proximal updates, one row at a time."""
-    doc, slot, value = features(texts)
-    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    sparse = []
+    for start in range(0, len(texts), 200):  # a few texts at a time: features need much more room while they are made
+        part = texts[start : start + 200]
+        doc, slot, value = features(part)
+        cuts = np.searchsorted(doc, np.arange(len(part) + 1)).tolist()
+        sparse += [(slot[a:b].astype(np.int32), value[a:b].astype(np.float32)) for a, b in zip(cuts, cuts[1:])]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         for t in rng.permutation(len(texts)).tolist():
-            i, x = slot[cuts[t] : cuts[t + 1]], value[cuts[t] : cuts[t + 1]]
+            i, x = sparse[t]
             zi, ni = z[i], n[i]
             w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - labels[t]) * x
