@@ -132,3 +132,43 @@ def byte_range(parts: DataFrame, file_col: str, pos_col: str, start: int, size:
     lo = F.greatest(F.lit(start) - F.col("offset"), F.lit(0))
     hi = F.least(F.lit(start + size) - F.col("offset"), F.col("length"))
     return at.where(hi > lo).select(file_col, pos_col, F.substring(F.col(content), lo.cast("int") + 1, (hi - lo).cast("int")).alias("slice"))
+
+
+def volatile(changed: Column, scanned: Column, is_directory: Column, grew: Column, seconds: int = 30) -> Column:
+    """Whether a file may still be changing: not a directory and touched within ``seconds`` before the scan, or of another size once read."""
+    return (~is_directory & (scanned - changed < seconds)) | F.coalesce(grew, F.lit(False))
+
+
+def reuse_stanzas(now: DataFrame, before: DataFrame, available: DataFrame, path: str = "path", stanza: str = "stanza", ref: str = "ref") -> DataFrame:
+    """Rows of a new log with ``reused``: the old reference of an identical stanza whose object is available, else null."""
+    old = before.join(available.select(ref), ref, "left_semi").select(path, F.sha2(F.col(stanza), 256).alias("digest"), F.col(ref).alias("reused"))
+    old = old.groupBy(path, "digest").agg(F.min("reused").alias("reused"))
+    return now.withColumn("digest", F.sha2(F.col(stanza), 256)).join(old, [path, "digest"], "left").drop("digest")
+
+
+def corrupted(scan: DataFrame, path: str = "path") -> DataFrame:
+    """Files that are unchanged by their stat fields, but whose checksum is another."""
+    return scan.where((F.col("state") == "unchanged") & (F.col("checksum") != F.col("old_checksum"))).select(path, "checksum", "old_checksum")
+
+
+def least_sizes(refs: DataFrame, known: DataFrame | None = None, keys: tuple[str, ...] = ("segmentid", "object")) -> DataFrame:
+    """A lower bound of each object's size: the furthest byte that a slice reaches, and what is known of it."""
+    reach = refs.groupBy(*keys).agg(F.max(F.col("start") + F.col("length")).alias("size"))
+    if known is None:
+        return reach
+    both = known.select(*keys, F.col("size").alias("known")).join(reach, list(keys), "full")
+    return both.select(*keys, F.greatest(F.coalesce("size", F.lit(0)), F.coalesce("known", F.lit(0))).alias("size"))
+
+
+def under_path(path: Column, prefixes: list[str]) -> Column:
+    """Whether a path is one of the prefixes or below it; no prefixes let all pass."""
+    out = F.lit(not prefixes)
+    for p in prefixes:
+        out = out | (path == p) | F.startswith(path, F.lit(f"{p.rstrip('/')}/"))
+    return out
+
+
+def listing(files: DataFrame, directory: str, path: str = "path") -> DataFrame:
+    """What lies directly in a directory ("" is the root)."""
+    depth = len(directory.split("/")) + 1 if directory else 1
+    return files.where(under_path(F.col(path), [directory] if directory else []) & (F.size(F.split(path, "/")) == depth))

@@ -429,3 +429,121 @@ def byte_range(spark, sf):
     parts = v.blocks(spark, sf).select("doc_id", "pos", F.col("block").alias("content"))
     out = verify.content_digest(blocks.byte_range(parts, "doc_id", "pos", 500, 2000), "doc_id", "pos", "slice", "sha1")
     return out.select("file", F.substring("checksum", 6, 40).alias("digest"))
+
+
+# More of the catalog
+
+
+@query("SELECT l_orderkey AS segmentid, l_linenumber, l_partkey, CASE WHEN l_linenumber > 5 THEN 'zero' ELSE 'normal' END AS kind, l_linenumber > 5 OR l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') AS available FROM lineitem")
+def object_available(spark, sf):
+    rows = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segmentid"), "l_linenumber", "l_partkey", F.lit("o").alias("object"), F.when(F.col("l_linenumber") > 5, "zero").otherwise("normal").alias("kind"))
+    index = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("segmentid"), F.lit("o").alias("object"), F.when(F.col("o_orderstatus") == "F", 0).alias("expired"))
+    return blocks.object_available(rows, index).drop("object")
+
+
+@query("SELECT o_orderkey AS segmentid FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)")
+def used_segments(spark, sf):
+    return account.used_segments(v.segments(spark, sf), v.table(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_orderkey").alias("segmentid"))).select("segmentid")
+
+
+@query(
+    "WITH s AS (SELECT l_orderkey AS segmentid, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS size, max(l_shipdate) AS mtime FROM lineitem GROUP BY 1), u AS (SELECT l_orderkey AS segmentid, max(l_discount) AS utilization FROM lineitem GROUP BY 1) "
+    "SELECT o_orderkey AS segmentid, size, mtime, round(utilization, 6) AS utilization, CAST(floor(size * utilization) AS BIGINT) AS used FROM orders LEFT JOIN s ON o_orderkey = s.segmentid LEFT JOIN u ON o_orderkey = u.segmentid"
+)
+def segment_info(spark, sf):
+    lines = v.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "segmentid")
+    used = lines.select("segmentid", F.col("l_discount").alias("utilization"))
+    parts = lines.select("segmentid", F.col("l_quantity").cast("long").alias("size"), F.col("l_shipdate").alias("timestamp"))
+    return account.segment_info(v.segments(spark, sf).select("segmentid"), used, parts).select("segmentid", "size", "mtime", F.round("utilization", 6).alias("utilization"), "used")
+
+
+@query("SELECT CAST(CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 2 ELSE 3 END AS INTEGER) AS \"group\", CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes, CAST(sum(CAST(l_quantity AS BIGINT) // 2) AS BIGINT) AS stored_bytes FROM lineitem GROUP BY 1")
+def bytes_by_group(spark, sf):
+    flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
+    size = F.col("l_quantity").cast("long")
+    return account.written_bytes(v.table(spark, sf, "lineitem").select(flag.alias("group"), size.alias("size"), F.floor(size / 2).alias("stored_size")))
+
+
+@query(f"WITH {_LABELS}, l AS (SELECT snapshotid FROM (SELECT *, row_number() OVER (PARTITION BY scheme, class ORDER BY timestamp DESC, snapshotid DESC) AS rn FROM labelled) WHERE rn = 1 AND retained) SELECT snapshotid, scheme, timestamp FROM snapshots WHERE snapshotid NOT IN (SELECT snapshotid FROM l) AND snapshotid NOT IN (SELECT arg_max(snapshotid, (timestamp, snapshotid)) FROM snapshots GROUP BY scheme)")
+def retention_evict(spark, sf):
+    return retain.evict(v.snapshots(spark, sf), _labelled(spark, sf)).select("snapshotid", "scheme", "timestamp")
+
+
+@query(f"WITH {_LABELS} SELECT snapshotid, scheme, snapshotid IN (SELECT snapshotid FROM labelled WHERE retained) AS retained FROM snapshots")
+def retention_verdict(spark, sf):
+    return retain.retained(v.snapshots(spark, sf), _labelled(spark, sf)).select("snapshotid", "scheme", "retained")
+
+
+@query("SELECT doc_id, substring(text, 11, 20) AS content, length(text) >= 30 AS fetch_ok FROM documents")
+def fetch_slices(spark, sf):
+    rows = v.table(spark, sf, "documents").withColumn("segment", F.lit("s")).withColumn("object", F.col("doc_id").cast("string"))
+    asked = rows.select("doc_id", "segment", "object", F.lit(10).cast("long").alias("start"), F.lit(20).cast("long").alias("length"), F.lit(False).alias("exact"), F.lit("normal").alias("kind"))
+    return verify.fetch(asked, rows.select("segment", "object", F.col("text").alias("content"))).select("doc_id", F.decode(F.col("content").cast("binary"), "UTF-8").alias("content"), "fetch_ok")
+
+
+@query("SELECT c_custkey, c_name AS name, c_custkey AS size, 'm ' || c_mktsegment AS note FROM customer")
+def parse_stanzas(spark, sf):
+    from snapweave.sources import stanzas
+
+    rows = v.table(spark, sf, "customer")
+    text = F.concat(F.lit("name: "), "c_name", F.lit("\nsize: 1\nsize: "), "c_custkey", F.lit("\nnote: m\n "), "c_mktsegment")
+    fields = stanzas.parse_stanza(text).alias("f")
+    return rows.select("c_custkey", fields).select("c_custkey", F.col("f")["name"].alias("name"), codec.parse_int(F.col("f")["size"]).alias("size"), F.col("f")["note"].alias("note"))
+
+
+@query("SELECT c_custkey, 'name: ' || c_name || chr(10) || 'balance: ' || c_mktsegment || chr(10) || 'zone: ' || c_nationkey AS stanza FROM customer")
+def format_stanzas(spark, sf):
+    from snapweave.sources import stanzas
+
+    fields = F.create_map(F.lit("zone"), F.col("c_nationkey").cast("string"), F.lit("name"), F.col("c_name"), F.lit("balance"), F.col("c_mktsegment"))
+    return v.table(spark, sf, "customer").select("c_custkey", stanzas.format_stanza(fields).alias("stanza"))
+
+
+@query("SELECT l_orderkey AS segmentid, CAST(l_partkey % 5 AS VARCHAR) AS object, CAST(greatest(max(l_linenumber * 10 + CAST(l_quantity AS BIGINT)), 60) AS BIGINT) AS size FROM lineitem GROUP BY 1, 2")
+def object_sizes(spark, sf):
+    rows = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segmentid"), (F.col("l_partkey") % 5).cast("string").alias("object"), (F.col("l_linenumber") * 10).cast("long").alias("start"), F.col("l_quantity").cast("long").alias("length"))
+    return blocks.least_sizes(rows, rows.select("segmentid", "object", F.lit(60).cast("long").alias("size")).distinct())
+
+
+@query("SELECT doc_id, source || '/' || lang || '/' || doc_id AS path FROM documents WHERE source = 'src1' OR (source = 'src2' AND lang = 'en')")
+def restore_filter(spark, sf):
+    return v.files(spark, sf).where(blocks.under_path(F.col("path"), ["src1", "src2/en"])).select("doc_id", "path")
+
+
+@query("SELECT source || '/' || lang || '/' || doc_id AS path FROM documents WHERE source = 'src3' AND lang = 'en'")
+def directory_listing(spark, sf):
+    return blocks.listing(v.files(spark, sf), "src3/en").select("path")
+
+
+@query("SELECT event_id, (event_type <> 'view' AND epoch(TIMESTAMP '2024-01-30 00:00:00') - CAST(floor(epoch(ts)) AS BIGINT) < 30) OR value > 90 AS is_volatile FROM events")
+def volatile_files(spark, sf):
+    changed = F.unix_seconds(F.col("ts").cast("timestamp"))
+    flag = blocks.volatile(changed, F.unix_seconds(F.lit("2024-01-30 00:00:00").cast("timestamp")), F.col("event_type") == "view", F.col("value") > 90)
+    return v.table(spark, sf, "events").select("event_id", flag.alias("is_volatile"))
+
+
+@query("SELECT o_orderkey AS path, CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 3 > 0 THEN CAST(o_orderkey AS VARCHAR) END AS reused FROM orders")
+def metadata_reuse(spark, sf):
+    rows = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.concat(F.lit("name: "), "o_orderpriority").alias("stanza"), F.col("o_orderkey").cast("string").alias("ref"), "o_custkey")
+    before = rows.withColumn("stanza", F.when(F.col("o_custkey") % 2 == 0, F.col("stanza")).otherwise("changed"))
+    return blocks.reuse_stanzas(rows.select("path", "stanza"), before, rows.where("path % 3 > 0").select("ref")).select("path", "reused")
+
+
+@query("SELECT o_orderkey AS path, 'b' || o_custkey AS checksum, 'a' || o_custkey AS old_checksum FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 = 0")
+def corruption_warnings(spark, sf):
+    same = F.col("o_custkey") % 7 > 0
+    rows = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "F", "unchanged").otherwise("changed").alias("state"), F.concat(F.when(same, "a").otherwise("b"), "o_custkey").alias("checksum"), F.concat(F.lit("a"), "o_custkey").alias("old_checksum"))
+    return blocks.corrupted(rows)
+
+
+@query("WITH f AS (SELECT o_custkey, min(l_partkey) AS first_segment FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_custkey AS path, first_segment FROM f")
+def restore_order(spark, sf):
+    lines = v.table(spark, sf, "lineitem").join(v.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return reconcile.restore_order(lines.select(F.col("o_custkey").alias("path"), F.col("l_partkey").alias("segment")))
+
+
+@query("WITH s AS (SELECT doc_id // 16 AS set_no, count(*) AS n, count(*) FILTER (WHERE doc_id % 37 > 0) AS alive FROM documents GROUP BY 1) SELECT set_no, n, alive, alive < n OR set_no % 4 < 1 + n // 8 AS stale FROM s")
+def parity_stale(spark, sf):
+    members = v.table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.floor(F.col("doc_id") / 16).alias("set_no"))
+    parity = members.select("set_no").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("set_no") % 4).cast("int")))).where("k > 0")
+    return reconcile.stale_parity(members, members.where("name % 37 > 0"), parity).select("set_no", "n", "alive", "stale")
