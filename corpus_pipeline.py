@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of 80 % similarity, that with the smallest id."""
     found = jaccard.join(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id")
+    gone = written(found.where("component_id <> doc_id").select("doc_id"), "gone")  # its size is known before the join is planned
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -265,6 +265,7 @@ def replace(df: DataFrame, key: bytes = b"snapweave", carry: tuple[str, ...] = (
     found = written(rows.select("d", "t", "text").mapInArrow(_entities, "d long, t long, kind string, value string"), "entities")
     odd = written(redrawn(found.select("kind", "value").distinct(), key), "redrawn")
     per_doc = found.join(odd, ["kind", "value"]).groupBy("d", "t").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("redrawn"))
+    per_doc = written(per_doc, "redrawn")  # its size is known before the join is planned: texts are shuffled only if it is large
     both = rows.join(per_doc, ["d", "t"], "left").select(*[f"c{i}" for i in range(len(carry))], "text", "redrawn")
     fields = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carry)] + [T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType())]
     out = both.mapInArrow(functools.partial(_replace, key, len(carry)), T.StructType(fields))
