@@ -35,7 +35,7 @@ from snapweave.llm.graph import components
 
 FRAGMENTS = 4
 #: Percent of a set by which the first prefix is longer than one shared shingle needs; so many more must be shared.
-EXTRA = 5
+EXTRA = 20
 
 
 def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,16 +48,60 @@ def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return docs, hashes, n, np.where(n > 0, keys, 0)
 
 
-def _prefixes(k: int, percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(k: int, percent: int, rows: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without ``rows``: a row per text, with the number of prefix shingles that it shares inside a few megabytes.
+
+    With ``rows``: ``shingle, key, told`` of the prefixes; of a shingle that several sets share in these
+    megabytes there is one row only, told to be shared.
+    """
     for ids, texts in chunks(batches, 1, 1 << 20):
         docs, hashes, n, keys = _sets(texts, k)
-        least = -(-percent * n // 100)
-        size = np.where(n > 0, n - least + np.maximum(1, EXTRA * n // 100), 0)
-        place = np.arange(len(docs)) - (np.cumsum(n) - n)[docs]
-        values = hashes[place < size[docs]]
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys), prefix], names=["doc_id", "n", "key", "prefix"])
+        size = np.where(n > 0, n - -(-percent * n // 100) + np.maximum(1, EXTRA * n // 100), 0)
+        inside = np.arange(len(docs)) - (np.cumsum(n) - n)[docs] < size[docs]
+        docs, hashes = docs[inside], hashes[inside]
+        own = keys[docs]
+        order = np.lexsort((own, hashes))
+        new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])[: len(order)]
+        starts = np.flatnonzero(new)
+        several = np.zeros(0, bool)
+        if len(starts):
+            last = np.append(starts[1:], len(order)) - 1
+            several = own[order[starts]] != own[order[last]]
+        shared = several[np.cumsum(new) - 1] if len(starts) else several
+        if not rows:
+            lead = np.zeros(len(texts), bool)
+            lead[np.unique(keys, return_index=True)[1]] = True  # equal sets count once
+            local = np.where(lead, np.bincount(docs[order[shared]], minlength=len(texts)), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys), pa.array(local, pa.int64()), pa.array(lead.astype(np.int64))], names=["doc_id", "n", "key", "local", "parts"])
+            continue
+        at = order[new]  # where one set only has the shingle, one row does as well
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array(own[at]), pa.array(several)], names=["shingle", "key", "told"])
+
+
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle: how many of each set's rows, told ones aside, are of shared shingles."""
+    held = None  # the last shingle so far: (shingle, least key, greatest key, told, rows not yet counted)
+    for b in batches:
+        shingle, key, told = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if not len(shingle):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        low, high = np.minimum.reduceat(key, starts), np.maximum.reduceat(key, starts)
+        some = np.logical_or.reduceat(told, starts)
+        more_keys, more = [], []
+        waiting = 0
+        if held is not None and held[0] == shingle[0]:
+            low[0], high[0], some[0] = min(low[0], held[1]), max(high[0], held[2]), some[0] or held[3]
+            waiting = held[4]
+        hit = some | (low != high)
+        if waiting and hit[0]:
+            more_keys, more, waiting = [held[1]], [waiting], 0
+        counts = np.diff(np.append(starts, len(shingle)))
+        count_it = np.repeat(hit, counts) & ~told
+        keys, n = np.unique(key[count_it], return_counts=True)
+        rest = 0 if hit[-1] else int(counts[-1]) + (waiting if len(starts) == 1 else 0)
+        held = (shingle[-1], low[-1], high[-1], some[-1], rest)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, np.array(more_keys, np.int64)])), pa.array(np.concatenate([n, np.array(more, np.int64)]))], names=["key", "shared"])
 
 
 def _segments(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +134,18 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     Repeated rows give repeated results. Other columns are ignored.
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    sets = written(docs.mapInArrow(functools.partial(_prefixes, k, percent), "doc_id long, n long, key long, prefix array<long>"), "prefixes")
-
-    distinct = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    # a shingle's least and greatest set differ when two sets share it; both combine before the shuffle
-    at = sets.where("n > 0").select("key", F.explode("prefix").alias("shingle"))
-    shared = at.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("shingle")
-    near = at.join(shared, "shingle", "left_semi").groupBy("key").agg(F.count_distinct("shingle").alias("shared"))
+    prefixes = functools.partial(_prefixes, k, percent)
+    sets = written(docs.mapInArrow(functools.partial(prefixes, False), "doc_id long, n long, key long, local long, parts long"), "sets")
+
+    distinct = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.sum("local").alias("in_all"), F.sum("parts").alias("parts"))
+    # a shingle that many sets share is one row per few megabytes by now
+    rows = docs.mapInArrow(functools.partial(prefixes, True), "shingle long, key long, told boolean")
+    rows = rows.repartition("shingle").sortWithinPartitions("shingle")
+    counts = rows.mapInArrow(_meet, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    # each of the parts that hold a set has counted all its shared shingles, either locally or as rows
     need = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(F.col("n") * percent / 100) / 100))  # the smallest possible partner's k
-    near = written(near.join(distinct, "key").where(F.col("shared") >= need).select("key", "least"), "near")
+    enough = F.coalesce("shared", F.lit(0)) + F.col("in_all") >= need * F.col("parts")
+    near = written(distinct.join(counts, "key", "left").where(enough).select("key", "least"), "near")
 
     kept = semi_join(docs, near.select(F.col("least").alias("doc_id")), "doc_id")
     found = kept.mapInArrow(functools.partial(_segments, k), "key long, n long, segments array<array<long>>")
@@ -143,8 +190,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     more = written(_links(second, segments, percent), "links")
     labels = components(links.union(more)) if not more.isEmpty() else labels
 
-    names = distinct.drop("n").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    names = distinct.select("key", "least").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     names = written(names, "names")
     least = names.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = names.join(least, "comp").select("key", "component_id")
-    return sets.drop("prefix").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
