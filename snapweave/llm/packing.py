@@ -13,7 +13,7 @@ assignment is one join of the pieces with the list of patterns.
 from __future__ import annotations
 
 import functools
-import itertools
+import json
 import os
 import re
 import zlib
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from snapweave.llm._common import chunks, written
 
-MEMO = 400_000
+MEMO = 500_000
 #: Rows per block when ranks are counted: a block's rows are ranked in one task.
 BLOCK_ROWS = 50_000
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -44,10 +44,49 @@ def _tokenizer(path: str):
     return t
 
 
+@functools.cache
+def _last(path: str) -> np.ndarray:
+    """Which ids end a word."""
+    spec = json.loads(_tokenizer(path).to_str())["model"]
+    mark = spec.get("end_of_word_suffix")
+    ends = np.zeros(1 + max(spec["vocab"].values()), bool)
+    if mark:
+        ends[[i for w, i in spec["vocab"].items() if w.endswith(mark)]] = True
+    return ends
+
+
+def _encoded(path: str, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Each word with its ids. Words of letters go to the tokenizer 50 at a time, parted by spaces: if it ends as many words, each is one of them."""
+    tok, last = _tokenizer(path), _last(path)
+    letters = [w for w in words if w.isalpha()]
+    rest = [w for w in words if not w.isalpha()]
+    groups = [letters[i : i + 50] for i in range(0, len(letters), 50)]
+    for group, e in zip(groups, tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        ends = np.flatnonzero(last[np.minimum(ids, len(last) - 1)]) + 1
+        if len(ends) != len(group):
+            rest += group
+            continue
+        data, cuts = ids.tobytes(), (4 * ends).tolist()
+        yield from ((w, data[a:b]) for w, a, b in zip(group, [0, *cuts], cuts))
+    for w, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False)):
+        yield w, np.array(e.ids, "<u4").tobytes()
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """What has the same ids, one after the other: ASCII letters in lower case, and punctuation behind them. Other words stay whole."""
+    core = word.rstrip(".,!?;:")
+    if core.isalpha() and core.isascii():
+        return core.lower(), word[len(core) :]
+    if core and core != word and core[-1].isalpha():
+        return core, word[len(core) :]
+    return word, ""
+
+
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This tokenizer drops white space and never merges across it, so a text's ids are those of its words, which are kept by word in a bounded dictionary."""
-    tok = _tokenizer(path)
     known: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {}
     last = np.array([end_id], "<u4").tobytes()
     for keys, texts in chunks(batches, 1, 1 << 20):
         words = [(_SPACE.split(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
@@ -56,10 +95,13 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, batches: Iter
             known.clear()
             new = set().union(*words)
         new = list(new)
-        ids = [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
-        ends = (4 * np.cumsum([len(i) for i in ids], dtype=np.int64)).tolist()
-        known.update((w, flat[a:b]) for w, a, b in zip(new, [0, *ends], ends))
+        plain, tails = zip(*map(_parts, new)) if new else ((), ())
+        fresh = list({*plain, *tails}.difference(parts))
+        if len(parts) + len(fresh) > MEMO:
+            parts.clear()
+            fresh = list({*plain, *tails})
+        parts.update(_encoded(path, fresh))
+        known.update((w, parts[a] + parts[b]) for w, a, b in zip(new, plain, tails))
         rows = []
         for key, ws in zip(keys, words):
             ids = b"".join(map(known.__getitem__, ws)) + last
