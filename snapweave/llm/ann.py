@@ -75,10 +75,14 @@ class VpTree:
 
 def _search(k: int, factor: float, leaf: int, key: tuple, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     out = []
-    if len(points) and len(queries):
-        tree = VpTree(np.stack(points["v"].to_numpy()).astype(np.float64), leaf)
-        ids = points["id"].to_numpy()
-        for q, v in zip(queries["id"].tolist(), queries["v"]):
+    sizes = points["v"].map(len)
+    for size, own in points.groupby(sizes):  # only vectors of one length are compared
+        asked = queries[queries["v"].map(len) == size]
+        if not len(asked):
+            continue
+        tree = VpTree(np.stack(own["v"].to_numpy()).astype(np.float64), leaf)
+        ids = own["id"].to_numpy()
+        for q, v in zip(asked["id"].tolist(), asked["v"]):
             out += [(q, i, d) for d, i in tree.search(np.asarray(v, np.float64), ids, q, k, factor)]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -95,7 +99,7 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
 
     A row with the query's own id is no candidate; ties go to the smaller id. Vectors
     that are null, zero, or hold null or non-finite components take no part, nor do
-    null ids. All vectors must have one length.
+    null ids. A vector is compared with those of its own length only.
     """
     points, asked = usable(df, id_col, vec_col), usable(queries, id_col, vec_col)
     shards = max(1, -(-points.count() // shard_rows))

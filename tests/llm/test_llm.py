@@ -251,12 +251,12 @@ def test_ann(spark, factor):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(3000, 8)).round(2)
     v[100:140] = v[0]
-    rows = [(i, x.tolist(), "extra") for i, x in enumerate(v)] + [(5000, None, ""), (5001, [0.0] * 8, ""), (5002, [float("nan")] * 8, ""), (None, [1.0] * 8, "")]
+    rows = [(i, x.tolist(), "extra") for i, x in enumerate(v)] + [(5000, None, ""), (5001, [0.0] * 8, ""), (5002, [float("nan")] * 8, ""), (None, [1.0] * 8, ""), (5100, [1.0, 2.0], ""), (5101, [1.0, 3.0], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
     out = collections.defaultdict(list)
     for r in ann.search(df, df.where("vec_id % 100 = 0"), shard_rows=700, leaf=32, factor=factor).orderBy("query_id", "rank").collect():
         out[r.query_id].append((r.vec_id, r.score))
-    assert len(out) == 30
+    assert out.pop(5100) == [(5101, 1.0)] and len(out) == 30
     hits = 0
     for q, found in out.items():
         d = np.sqrt(((v - v[q]) ** 2).sum(1))
