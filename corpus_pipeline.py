@@ -12,7 +12,12 @@ from snapweave.llm._common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the perplexity bands keep."""
-    return quality.judge(docs, docs.columns).where("kept").select(*docs.columns)
+    mark = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))  # ids may repeat with another text
+    marked = docs.withColumn("mark_", mark)
+    judged = quality.judge(marked, ["doc_id", "mark_"])
+    gone = written(judged.where("not kept").select(F.col("doc_id").alias("id_"), F.col("mark_").alias("m_")).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("m_"))
+    return marked.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[list[list]]:
     """Columns of consecutive rows as lists, cut so that the texts of one chunk stay near ``most`` characters."""
-    for batch in batches:
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         cols = [c.to_pylist() for c in batch.columns]
         start = size = 0
         for i, t in enumerate(cols[text]):
