@@ -16,6 +16,7 @@ import functools
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -73,35 +74,46 @@ def _encoded(path: str, words: list[str]) -> Iterator[tuple[str, bytes]]:
         yield w, np.array(e.ids, "<u4").tobytes()
 
 
-def _parts(word: str) -> tuple[str, str]:
-    """What has the same ids, one after the other: ASCII letters in lower case, and punctuation behind them. Other words stay whole."""
-    core = word.rstrip(".,!?;:")
-    if core.isalpha() and core.isascii():
-        return core.lower(), word[len(core) :]
-    if core and core != word and core[-1].isalpha():
-        return core, word[len(core) :]
-    return word, ""
+@functools.lru_cache(maxsize=4096)
+def _letter(c: str) -> bool:
+    """Whether a character is letters only to the tokenizer, which composes and lowers it first."""
+    return unicodedata.normalize("NFC", c).lower().isalpha()
+
+
+def _split(text: str) -> list[str]:
+    """Words between what the tokenizer takes as white space. Latin-1 has lower case letters of its own, so such a text is lowered as a whole, as the tokenizer would do."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        text = text.lower()
+    return _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
+
+
+def _learn(path: str, known: dict[str, bytes], new: set[str]) -> None:
+    """Adds ``new`` words to ``known``. Punctuation behind a letter has ids of its own, so such a word's ids are those of its two parts."""
+    cut = []
+    for w in new:
+        core = w.rstrip(".,!?;:")
+        if core and len(core) < len(w) and _letter(core[-1]):
+            cut.append((w, core, w[len(core) :]))
+    whole, cores, tails = zip(*cut) if cut else ((), (), ())
+    known.update(_encoded(path, list(new.difference(whole).union(cores, tails).difference(known))))
+    known.update((w, known[a] + known[b]) for w, a, b in cut)
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This tokenizer drops white space and never merges across it, so a text's ids are those of its words, which are kept by word in a bounded dictionary."""
     known: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {}
     last = np.array([end_id], "<u4").tobytes()
     for keys, texts in chunks(batches, 1, 1 << 20):
-        words = [(_SPACE.split(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        new = set().union(*words).difference(known)
-        if len(known) + len(new) > MEMO:
-            known.clear()
-            new = set().union(*words)
-        new = list(new)
-        plain, tails = zip(*map(_parts, new)) if new else ((), ())
-        fresh = list({*plain, *tails}.difference(parts))
-        if len(parts) + len(fresh) > MEMO:
-            parts.clear()
-            fresh = list({*plain, *tails})
-        parts.update(_encoded(path, fresh))
-        known.update((w, parts[a] + parts[b]) for w, a, b in zip(new, plain, tails))
+        words = [_split(t) if t else [] for t in texts]
+        here = set().union(*words)
+        new = here.difference(known)
+        if len(known) + len(new) > MEMO:  # what is in use stays
+            known = {w: known[w] for w in here.difference(new)}
+        _learn(path, known, new)
         rows = []
         for key, ws in zip(keys, words):
             ids = b"".join(map(known.__getitem__, ws)) + last
