@@ -29,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapweave.llm._common import chunks, semi_join, written
+from snapweave.llm._common import bitmap_filter, chunks, semi_join, written
 from snapweave.llm._words import mix, shingles
 from snapweave.llm.graph import components
 
 FRAGMENTS = 4
 #: Percent of a set by which the first prefix is longer than one shared shingle needs; so many more must be shared.
 EXTRA = 20
+#: Of a set's key, what the first filter carries. Sets that agree in it are counted together, and not against each other.
+KEY_BITS = (1 << 40) - 1
+#: Buckets of shingles in the first filter: so many, or as many as hold about ``BUCKET_ROWS`` prefix shingles each.
+BUCKETS, BUCKET_ROWS = 32, 2_000_000
 
 
 def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,60 +52,74 @@ def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return docs, hashes, n, np.where(n > 0, keys, 0)
 
 
-def _prefixes(k: int, percent: int, rows: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Without ``rows``: a row per text, with the number of prefix shingles that it shares inside a few megabytes.
+def _sizes(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in chunks(batches, 1, 1 << 20):
+        _, _, n, keys = _sets(texts, k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys)], names=["doc_id", "n", "key"])
+
+
+def _prefixes(k: int, percent: int, buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefixes of a megabyte of texts, a row per bucket of shingles, as bytes.
 
-    With ``rows``: ``shingle, key, told`` of the prefixes; of a shingle that several sets share in these
-    megabytes there is one row only, told to be shared.
+    ``shingle, low, high``: 32 bits of each shingle (the bucket has told others apart) that one
+    set of these has, and 40 bits of that set's key. ``told``: shingles that several of these
+    sets share, once each. ``keys, local``, in one row: the sets themselves, and how many of
+    their shingles were told.
     """
-    for ids, texts in chunks(batches, 1, 1 << 20):
+    for _, texts in chunks(batches, 1, 1 << 20):
         docs, hashes, n, keys = _sets(texts, k)
         size = np.where(n > 0, n - -(-percent * n // 100) + np.maximum(1, EXTRA * n // 100), 0)
-        inside = np.arange(len(docs)) - (np.cumsum(n) - n)[docs] < size[docs]
+        lead = np.zeros(len(texts), bool)
+        lead[np.unique(keys, return_index=True)[1]] = True  # equal sets count once
+        lead &= n > 0
+        inside = (np.arange(len(docs)) - (np.cumsum(n) - n)[docs] < size[docs]) & lead[docs]
         docs, hashes = docs[inside], hashes[inside]
-        own = keys[docs]
-        order = np.lexsort((own, hashes))
-        new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])[: len(order)]
+        _, at, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        alone = counts[which] == 1
+        local = np.bincount(docs[~alone], minlength=len(texts))
+        names = keys & KEY_BITS
+        plain, whose, told = hashes[alone].view(np.uint64), names[docs[alone]], hashes[at[counts > 1]].view(np.uint64)
+        parts = []
+        for values in (plain, told):
+            place = values % np.uint64(buckets)
+            order = np.argsort(place, kind="stable")
+            parts.append((order, np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))))
+        (order, cuts), (order_told, cuts_told) = parts
+        short, whose = (plain[order] >> np.uint64(32)).astype("<u4"), whose[order]
+        low, high = whose.astype("<u4"), (whose >> 32).astype(np.uint8)
+        short_told = (told[order_told] >> np.uint64(32)).astype("<u4")
+        rows = []
+        for i in range(buckets):
+            u, v = slice(cuts[i], cuts[i + 1]), slice(cuts_told[i], cuts_told[i + 1])
+            if u.start < u.stop or v.start < v.stop:
+                rows.append((i, short[u].tobytes(), low[u].tobytes(), high[u].tobytes(), short_told[v].tobytes(), b"", b""))
+        if lead.any():
+            rows.append((int(names[lead][0] % buckets), b"", b"", b"", b"", names[lead].astype("<i8").tobytes(), local[lead].astype("<i8").tobytes()))
+        cols = list(zip(*rows)) or [()] * 7
+        types = [pa.int32()] + [pa.binary()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["bucket", "shingle", "low", "high", "told", "keys", "local"])
+
+
+def _meet(group: pa.Table) -> pa.Table:
+    """One bucket: how many shingles each set shares with other megabytes' sets, or shared with its own; ``parts`` is 1 where the latter are given."""
+
+    def column(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+    shingle, told = column("shingle", "<u4"), column("told", "<u4")
+    key = column("low", "<u4").astype(np.int64) | column("high", "u1").astype(np.int64) << 32
+    order = np.argsort(shingle, kind="stable")
+    shingle, key = shingle[order], key[order]
+    hit = np.zeros(0, bool)
+    if len(shingle):
+        new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
         starts = np.flatnonzero(new)
-        several = np.zeros(0, bool)
-        if len(starts):
-            last = np.append(starts[1:], len(order)) - 1
-            several = own[order[starts]] != own[order[last]]
-        shared = several[np.cumsum(new) - 1] if len(starts) else several
-        if not rows:
-            lead = np.zeros(len(texts), bool)
-            lead[np.unique(keys, return_index=True)[1]] = True  # equal sets count once
-            local = np.where(lead, np.bincount(docs[order[shared]], minlength=len(texts)), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys), pa.array(local, pa.int64()), pa.array(lead.astype(np.int64))], names=["doc_id", "n", "key", "local", "parts"])
-            continue
-        at = order[new]  # where one set only has the shingle, one row does as well
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array(own[at]), pa.array(several)], names=["shingle", "key", "told"])
-
-
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle: how many of each set's rows, told ones aside, are of shared shingles."""
-    held = None  # the last shingle so far: (shingle, least key, greatest key, told, rows not yet counted)
-    for b in batches:
-        shingle, key, told = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        if not len(shingle):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        low, high = np.minimum.reduceat(key, starts), np.maximum.reduceat(key, starts)
-        some = np.logical_or.reduceat(told, starts)
-        more_keys, more = [], []
-        waiting = 0
-        if held is not None and held[0] == shingle[0]:
-            low[0], high[0], some[0] = min(low[0], held[1]), max(high[0], held[2]), some[0] or held[3]
-            waiting = held[4]
-        hit = some | (low != high)
-        if waiting and hit[0]:
-            more_keys, more, waiting = [held[1]], [waiting], 0
-        counts = np.diff(np.append(starts, len(shingle)))
-        count_it = np.repeat(hit, counts) & ~told
-        keys, n = np.unique(key[count_it], return_counts=True)
-        rest = 0 if hit[-1] else int(counts[-1]) + (waiting if len(starts) == 1 else 0)
-        held = (shingle[-1], low[-1], high[-1], some[-1], rest)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, np.array(more_keys, np.int64)])), pa.array(np.concatenate([n, np.array(more, np.int64)]))], names=["key", "shared"])
+        shared = (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)) | np.isin(shingle[starts], told)
+        hit = shared[np.cumsum(new) - 1]
+    names, n = np.unique(key[hit], return_counts=True)
+    keys, local = column("keys", "<i8"), column("local", "<i8")
+    parts = np.repeat(np.array([0, 1], np.int64), [len(names), len(keys)])
+    return pa.table({"name": np.concatenate([names, keys]), "shared": np.concatenate([n, local]), "parts": parts})
 
 
 def _segments(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +133,11 @@ def _segments(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), outer], names=["key", "n", "segments"])
 
 
-def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, na, b, nb``) that are similar."""
+    pairs = written(pairs, "pairs")
+    used = bitmap_filter(found, pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
+    segments = used.select("key", F.posexplode("segments").alias("fragment", "segment")).where(F.size("segment") > 0)
     at = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = segments.select(F.col("key").alias("a"), "fragment", F.col("segment").alias("x"))
     right = segments.select(F.col("key").alias("b"), "fragment", F.col("segment").alias("y"))
@@ -134,33 +155,36 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     Repeated rows give repeated results. Other columns are ignored.
     """
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    prefixes = functools.partial(_prefixes, k, percent)
-    sets = written(docs.mapInArrow(functools.partial(prefixes, False), "doc_id long, n long, key long, local long, parts long"), "sets")
-
-    distinct = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.sum("local").alias("in_all"), F.sum("parts").alias("parts"))
-    # a shingle that many sets share is one row per few megabytes by now
-    rows = docs.mapInArrow(functools.partial(prefixes, True), "shingle long, key long, told boolean")
-    rows = rows.repartition("shingle").sortWithinPartitions("shingle")
-    counts = rows.mapInArrow(_meet, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
-    # each of the parts that hold a set has counted all its shared shingles, either locally or as rows
+    sets = written(docs.mapInArrow(functools.partial(_sizes, k), "doc_id long, n long, key long"), "sets")
+
+    distinct = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(BUCKETS, -(-total * (100 - percent + EXTRA) // 100 // BUCKET_ROWS))
+    # a shingle that many sets share is told once per megabyte
+    rows = docs.mapInArrow(functools.partial(_prefixes, k, percent, buckets), "bucket int, shingle binary, low binary, high binary, told binary, keys binary, local binary")
+    counts = rows.groupBy("bucket").applyInArrow(_meet, "name long, shared long, parts long").groupBy("name").agg(F.sum("shared").alias("shared"), F.sum("parts").alias("parts"))
+    # each of the megabytes that hold a set has counted all its shared shingles
     need = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(F.col("n") * percent / 100) / 100))  # the smallest possible partner's k
-    enough = F.coalesce("shared", F.lit(0)) + F.col("in_all") >= need * F.col("parts")
-    near = written(distinct.join(counts, "key", "left").where(enough).select("key", "least"), "near")
+    named = distinct.withColumn("name", F.col("key").bitwiseAND(F.lit(KEY_BITS)))
+    near = written(named.join(counts, "name").where(F.col("shared") >= need).select("key", "least"), "near")
 
     kept = semi_join(docs, near.select(F.col("least").alias("doc_id")), "doc_id")
     found = kept.mapInArrow(functools.partial(_segments, k), "key long, n long, segments array<array<long>>")
     found = found.join(near.select("key"), "key", "left_semi")  # one id may stand on several texts, and rows may repeat
     found = written(found.groupBy("key").agg(F.first("n").alias("n"), F.first("segments").alias("segments")), "segments")
-    segments = found.select("key", F.posexplode("segments").alias("fragment", "segment")).where(F.size("segment") > 0)
 
-    flat = found.select("key", "n", F.explode(F.flatten("segments")).alias("shingle"))
+    flat = found.select("key", F.explode(F.flatten("segments")).alias("shingle"))
     counts = flat.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    rare = flat.join(counts, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))  # at most a text long
+    # up to 63 as it is, then four steps for each doubling; the rest of a code is the shingle, so codes are ordered from rare to frequent
+    grade = F.when(F.col("df") < 64, F.col("df")).otherwise(F.least(F.lit(127), F.floor(4 * F.log2("df")) + 40)).cast("long")
+    code = F.shiftleft(grade, 56).bitwiseOR(F.col("shingle").bitwiseAND(F.lit((1 << 56) - 1)))
+    rare = flat.join(counts, "shingle").groupBy("key").agg(F.sort_array(F.collect_list(code)).alias("common"))  # at most a text long
+    rare = rare.join(found.select("key", "n"), "key")
     unique = F.col("n") - F.size("common")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - unique
-    weight = (F.aggregate("common", F.lit(0).cast("long"), lambda s, c: s + c["df"]) + unique) / F.col("n")
-    posts = rare.where(prefix > 0).select("key", "n", unique.alias("unique"), weight.alias("weight"), F.posexplode(F.slice("common", 1, prefix.cast("int"))).alias("i", "c"))
-    posts = posts.select("key", "n", "weight", (F.col("i") + 1 + F.col("unique")).alias("place"), F.col("c.shingle").alias("shingle"))
+    weight = (F.aggregate("common", F.lit(0).cast("long"), lambda s, c: s + F.shiftright(c, 56)) + unique) / F.col("n")
+    posts = rare.where(prefix > 0).select("key", "n", unique.alias("unique"), weight.alias("weight"), F.posexplode(F.slice("common", 1, prefix.cast("int"))).alias("i", "shingle"))
+    posts = posts.select("key", "n", "weight", (F.col("i") + 1 + F.col("unique")).alias("place"), "shingle")
     posts = written(posts, "postings")
 
     def can(other: str):
@@ -177,7 +201,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     centre = F.max_by(F.struct("key", "n", "place"), F.struct("weight", "key")).alias("o")
     centres = posts.groupBy("shingle").agg(centre, F.count("*").alias("rows")).where("rows > 1").drop("rows")
     first = pairs(posts.join(centres, "shingle").where((F.col("key") != F.col("o.key")) & can("o")))
-    links = written(_links(first, segments, percent), "links")
+    links = written(_links(first, found, percent), "links")
     labels = components(links)
 
     named = posts.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -187,11 +211,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     rest = named.join(lists, "shingle")
     outside = rest.where("comp <> main").select("shingle", F.struct("key", "n", "place", "comp").alias("o"))
     second = pairs(rest.join(outside, "shingle").where((F.col("comp") != F.col("o.comp")) & can("o")))
-    more = written(_links(second, segments, percent), "links")
+    more = written(_links(second, found, percent), "links")
     labels = components(links.union(more)) if not more.isEmpty() else labels
 
     names = distinct.select("key", "least").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     names = written(names, "names")
     least = names.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = names.join(least, "comp").select("key", "component_id")
-    return sets.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
