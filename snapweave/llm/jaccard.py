@@ -133,6 +133,56 @@ def _segments(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), outer], names=["key", "n", "segments"])
 
 
+def _deal(buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All shingles of a few sets, a row per bucket, as bytes; each set's follow one another, with their number in ``counts``."""
+    for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+        keys = b.column("key").to_numpy().astype("<i8")
+        lists = b.column("segments")
+        shingles = lists.flatten().flatten().to_numpy().astype("<i8")
+        place = (shingles.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        own = np.repeat(np.arange(len(keys)), b.column("n").to_numpy())
+        order = np.lexsort((own, place))
+        place, own, shingles = place[order], own[order], shingles[order]
+        starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])])[: len(place)])
+        counts, whose = np.diff(np.append(starts, len(place))).astype("<u4"), keys[own[starts]]
+        cuts = np.searchsorted(place, np.arange(buckets + 1))
+        runs = np.searchsorted(place[starts], np.arange(buckets + 1))
+        rows = [(i, shingles[cuts[i] : cuts[i + 1]].tobytes(), whose[runs[i] : runs[i + 1]].tobytes(), counts[runs[i] : runs[i + 1]].tobytes()) for i in range(buckets) if cuts[i] < cuts[i + 1]]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32()] + [pa.binary()] * 3)], names=["bucket", "shingles", "keys", "counts"])
+
+
+def _grade(group: pa.Table) -> pa.Table:
+    """One bucket: the codes of each set's shingles that other sets have as well.
+
+    A code is a grade of how many sets have the shingle (up to 63 as it is, then four steps for
+    each doubling) before 56 bits of the shingle: codes are ordered from rare to frequent.
+    """
+    shingles, keys, counts = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("shingles", "<i8"), ("keys", "<i8"), ("counts", "<u4")))
+    _, which, df = np.unique(shingles, return_inverse=True, return_counts=True)
+    grades = np.where(df < 64, df, np.minimum(127, np.floor(4 * np.log2(df)) + 40)).astype(np.int64)
+    shared = df[which] > 1
+    codes = (grades[which] << 56 | shingles & ((1 << 56) - 1))[shared]
+    own = np.repeat(np.arange(len(keys)), counts)[shared]
+    cuts = (8 * np.searchsorted(own, np.arange(len(keys) + 1))).tolist()
+    data = codes.astype("<i8").tobytes()
+    return pa.table({"key": keys, "codes": pa.array([data[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())})
+
+
+def _postings(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with the lists of their codes: the codes in each prefix, their places, and the mean grade of the set."""
+    for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+        out = []
+        for key, n, lists in zip(*(b.column(c).to_pylist() for c in ("key", "n", "codes"))):
+            codes = np.sort(np.frombuffer(b"".join(lists), "<i8"))
+            unique = n - len(codes)
+            codes_in = codes[: max(0, n - -(-percent * n // 100) + 1 - unique)]
+            weight = float((codes >> 56).sum() + unique) / n
+            out.append((np.full(len(codes_in), key), np.full(len(codes_in), n), np.full(len(codes_in), weight), np.arange(len(codes_in)) + 1 + unique, codes_in))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "n", "weight", "place", "shingle"])
+
+
 def _links(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, na, b, nb``) that are similar."""
     pairs = written(pairs, "pairs")
@@ -173,18 +223,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     found = found.join(near.select("key"), "key", "left_semi")  # one id may stand on several texts, and rows may repeat
     found = written(found.groupBy("key").agg(F.first("n").alias("n"), F.first("segments").alias("segments")), "segments")
 
-    flat = found.select("key", F.explode(F.flatten("segments")).alias("shingle"))
-    counts = flat.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    # up to 63 as it is, then four steps for each doubling; the rest of a code is the shingle, so codes are ordered from rare to frequent
-    grade = F.when(F.col("df") < 64, F.col("df")).otherwise(F.least(F.lit(127), F.floor(4 * F.log2("df")) + 40)).cast("long")
-    code = F.shiftleft(grade, 56).bitwiseOR(F.col("shingle").bitwiseAND(F.lit((1 << 56) - 1)))
-    rare = flat.join(counts, "shingle").groupBy("key").agg(F.sort_array(F.collect_list(code)).alias("common"))  # at most a text long
-    rare = rare.join(found.select("key", "n"), "key")
-    unique = F.col("n") - F.size("common")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - unique
-    weight = (F.aggregate("common", F.lit(0).cast("long"), lambda s, c: s + F.shiftright(c, 56)) + unique) / F.col("n")
-    posts = rare.where(prefix > 0).select("key", "n", unique.alias("unique"), weight.alias("weight"), F.posexplode(F.slice("common", 1, prefix.cast("int"))).alias("i", "shingle"))
-    posts = posts.select("key", "n", "weight", (F.col("i") + 1 + F.col("unique")).alias("place"), "shingle")
+    buckets = max(BUCKETS, -(-(found.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
+    dealt = found.mapInArrow(functools.partial(_deal, buckets), "bucket int, shingles binary, keys binary, counts binary")
+    coded = dealt.groupBy("bucket").applyInArrow(_grade, "key long, codes binary")
+    lists = coded.groupBy("key").agg(F.collect_list("codes").alias("codes"))  # at most a text long
+    posts = lists.join(found.select("key", "n"), "key").mapInArrow(functools.partial(_postings, percent), "key long, n long, weight double, place long, shingle long")
     posts = written(posts, "postings")
 
     def can(other: str):
