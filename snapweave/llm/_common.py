@@ -70,4 +70,5 @@ def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) ->
 
 def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` is in ``keys``, filtered by a bitmap before they are shuffled."""
-    return bitmap_filter(rows, keys, key).join(keys.select(key), key, "left_semi")
+    # an inner join, as a semi join would be pushed below the bitmap
+    return bitmap_filter(rows, keys, key).join(keys.select(key).distinct(), key).select(*rows.columns)
