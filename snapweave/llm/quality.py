@@ -4,10 +4,10 @@ The model is an interpolated modified Kneser-Ney model over bytes, one for each
 language. Spark counts all 5-grams of every text that passes the plain rules and
 has at most one symbol in ten words, so that junk can't make itself likely;
 lower orders, discounts and probabilities are joins and aggregates over the
-distinct n-grams. For scoring, probabilities and back-off weights become arrays
-sorted by hash: a slot of ``HASH_BITS`` bits and 32 bits that tell what is in it.
-A slot holds one entry, the most frequent of those that meet there (the others
-back off), so at most 2**HASH_BITS are broadcast however large the corpus is.
+distinct n-grams, and so are the back-offs of n-grams that stand only in texts
+not learned from. For scoring, texts are dealt to blocks of ``BLOCK`` bytes and each
+block gets the probabilities of its own distinct n-grams by a join: no n-gram is
+left out, and no task holds the model.
 
 A language's perplexity band is set from all its scored texts: the median of the
 mean negative log-probability, plus or minus ``spread`` scaled median absolute
@@ -17,11 +17,11 @@ deviations, and at least ``above`` or ``below`` nats a byte.
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +30,8 @@ from snapweave.llm._common import chunks, written
 from snapweave.llm._words import _SPACE, mix, words
 
 ORDER = 5
-HASH_BITS = 24
+#: Bytes of text in a block: bounds what one scoring task holds.
+BLOCK = 32 << 20
 _PAD = bytes(ORDER - 1)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -92,51 +93,68 @@ def _by_language(langs: list, take: np.ndarray) -> Iterator[tuple[str, list[int]
     yield from found.items()
 
 
-def _count(most: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the task's n-grams, summed up to ``most`` entries before they leave."""
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the task in blocks of about ``BLOCK`` bytes: number and compressed Arrow stream of each."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
     def out() -> pa.RecordBatch:
-        names = [k for k, (g, _) in held.items() for _ in range(len(g))]
-        g = np.concatenate([g for g, _ in held.values()])
-        c = np.concatenate([c for _, c in held.values()])
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(g.view(np.int64)), pa.array(c)], names=["lang", "g", "c"])
-
-    for texts, langs in chunks(batches, 0, 1 << 20):
-        raw = [(t or "").encode() for t in texts]
-        found = stats(raw)
-        plain = ~found["base_failed"] & (10 * found["n_symbols"] <= found["n_words"])
-        for lang, at in _by_language(langs, plain):
-            g = np.sort(_grams([raw[i] for i in at])[0])
-            new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
-            g, c = g[new], np.diff(np.append(new, len(g)))
-            if lang in held:
-                g, c = np.concatenate([held[lang][0], g]), np.concatenate([held[lang][1], c])
-                order = np.argsort(g, kind="stable")
-                g, c = g[order], c[order]
-                new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
-                g, c = g[new], np.add.reduceat(c, new) if len(new) else c
-            held[lang] = (g, c)
-        if sum(len(g) for g, _ in held.values()) > most:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as w:
+            for part in held:
+                w.write_batch(part)
+        stream = sink.getvalue()
+        small = pa.Codec("zstd", compression_level=6).compress(stream, asbytes=True)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([stream.size], pa.int64()), pa.array([small], pa.binary())], names=["block", "size", "rows"])
+
+    for part in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+        held.append(part)
+        size += part.nbytes
+        if size >= BLOCK:
             yield out()
+            number, held, size = number + 1, [], 0
     if held:
         yield out()
 
 
-def counted(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, g, c``: how often each packed n-gram occurs in texts that pass the plain rules and have at most one symbol in ten words."""
-    rows = df.select(df[text_col].alias("text"), df[lang_col].cast("string").alias("lang"))
-    return rows.mapInArrow(functools.partial(_count, 1 << 20), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+def _unpacked(size: int, rows: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(pa.decompress(rows, size, "zstd"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """``lang, m, context, g, value, c``: probability of each n-gram of order m, and back-off weight of each context (``context`` true)."""
+def _merged(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(g, kind="stable")
+    g, c = g[order], c[order]
+    new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+    return g[new], np.add.reduceat(c, new) if len(new) else c
+
+
+def _count(carried: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's distinct n-grams of all texts to score, with their counts in texts that are learned from (0: in none)."""
+    for b in batches:
+        for block, *rows in zip(*(b.column(i).to_pylist() for i in range(3))):
+            held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            parts = (pa.RecordBatch.from_arrays([r.column(carried), r.column(carried + 1)], names=["text", "lang"]) for r in _unpacked(*rows))
+            for texts, langs in chunks(parts, 0, 1 << 20):
+                raw = [(t or "").encode() for t in texts]
+                found = stats(raw)
+                plain = 10 * found["n_symbols"] <= found["n_words"]
+                for learn in (True, False):
+                    for lang, at in _by_language(langs, ~found["base_failed"] & (plain == learn)):
+                        g = _grams([raw[i] for i in at])[0]
+                        g, c = _merged(g, np.full(len(g), int(learn), np.int64))
+                        if lang in held:
+                            g, c = _merged(np.concatenate([held[lang][0], g]), np.concatenate([held[lang][1], c]))
+                        held[lang] = (g, c)
+            for lang, (g, c) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block, np.int64)), pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], names=["block", "lang", "g", "c"])
+
+
+def kneser_ney(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """For each order, the probabilities ``lang, g, p`` of its n-grams and the back-off weights ``lang, ctx, gamma`` of their contexts."""
     tables = {ORDER: counts}
     for m in range(ORDER - 1, 0, -1):
         mask = F.lit((1 << (8 * m)) - 1)
         tables[m] = written(tables[m + 1].groupBy("lang", F.col("g").bitwiseAND(mask).alias("g")).agg(F.count("*").alias("c")), "grams")
-    out, lower = [], None
+    found, weights, lower = {}, {}, None
     for m in range(1, ORDER + 1):
         t = tables[m]
         seen = t.groupBy("lang").agg(*[F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)])
@@ -160,64 +178,48 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             mask = F.lit((1 << (8 * (m - 1))) - 1)
             below = lower.select("lang", F.col("g").alias("suffix"), F.col("p").alias("below"))
             probs = own.withColumn("suffix", F.col("g").bitwiseAND(mask)).join(below, ["lang", "suffix"]).withColumn("p", F.col("own") + F.col("gamma") * F.col("below"))
-        lower = written(probs.select("lang", "g", "p", "c"), "probabilities")
-        out.append(lower.select("lang", F.lit(m).alias("m"), F.lit(False).alias("context"), "g", F.col("p").alias("value"), "c"))
-        out.append(contexts.select("lang", F.lit(m).alias("m"), F.lit(True).alias("context"), F.col("ctx").alias("g"), F.col("gamma").alias("value"), F.col("total").alias("c")))
-    return functools.reduce(DataFrame.unionByName, out)
-
-
-@functools.cache
-def _seed(lang: str, m: int, context: bool) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{m}/{int(context)}/{lang}".encode(), digest_size=8).digest(), "little")
-
-
-def _key(g: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
-    """Slot and check of n-grams, in one number."""
-    return mix(mix(g.astype(np.uint64)) ^ seed) >> np.uint64(32 - HASH_BITS)
-
-
-def _slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lang, m, context, g = (b.column(i).to_pylist() for i in range(4))
-        keys = np.array(g, np.int64).view(np.uint64)
-        seeds = np.array([_seed(*k) for k in zip(lang, m, context)], np.uint64)
-        key = _key(keys, seeds)
-        yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.int32)), pa.array(key.astype(np.int64)), b.column(4), b.column(5)], names=["slot", "key", "value", "c"])
+        lower = found[m] = written(probs.select("lang", "g", "p"), "probabilities")
+        weights[m] = contexts.select("lang", "ctx", "gamma")
+    return found, weights
+
+
+def log_probabilities(counts: DataFrame) -> DataFrame:
+    """``lang, g, logp`` of every n-gram of ``counts``; those with count 0 back off, through all orders."""
+    found, weights = kneser_ney(counts.where("c > 0"))
+    out = [found[ORDER].select("lang", "g", "p")]
+    todo = counts.where("c = 0").select("lang", "g", F.lit(1.0).alias("factor"))
+    for m in range(ORDER, 0, -1):
+        ctx = F.shiftrightunsigned(F.col("g").bitwiseAND(F.lit((1 << (8 * m)) - 1)), 8)
+        todo = todo.withColumn("ctx", ctx).join(weights[m], ["lang", "ctx"], "left")
+        todo = todo.select("lang", "g", (F.col("factor") * F.coalesce("gamma", F.lit(1.0))).alias("factor"))
+        if m == 1:
+            out.append(todo.select("lang", "g", (F.col("factor") / 256).alias("p")))
+            break
+        below = found[m - 1].select("lang", F.col("g").alias("suffix"), F.col("p").alias("below"))
+        suffix = F.col("g").bitwiseAND(F.lit((1 << (8 * (m - 1))) - 1))
+        todo = written(todo.withColumn("suffix", suffix).join(below, ["lang", "suffix"], "left"), "backed_off")
+        out.append(todo.where("below is not null").select("lang", "g", (F.col("factor") * F.col("below")).alias("p")))
+        todo = todo.where("below is null").select("lang", "g", "factor")
+    return functools.reduce(DataFrame.unionByName, out).select("lang", "g", F.log("p").cast("float").alias("logp"))
 
 
 class Model:
-    """Log-probabilities and log back-off weights, looked up by hash in sorted arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.logs = keys[order].astype(np.uint64), np.log(values[order]).astype(np.float32)
-
-    @staticmethod
-    def fit(counts: DataFrame) -> Model:
-        rows = kneser_ney(counts).select("lang", "m", "context", "g", "value", "c").mapInArrow(_slots, "slot int, key long, value double, c long")
-        most = rows.groupBy("slot").agg(F.max(F.struct("c", "key", "value")).alias("most"))
-        found = most.select("most.key", "most.value").toArrow()  # at most 2**HASH_BITS rows
-        return Model(found["key"].to_numpy(), found["value"].to_numpy())
-
-    def _find(self, g: np.ndarray, lang: str, m: int, context: bool) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(g), bool), np.zeros(len(g), np.float32)
-        key = _key(g, np.uint64(_seed(lang, m, context)))
-        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return self.keys[i] == key, self.logs[i]
-
-    def logp(self, g: np.ndarray, lang: str, m: int = ORDER) -> np.ndarray:
-        """Log-probability of the last byte of each packed n-gram of order ``m`` after those before it."""
-        if m == 0:
-            return np.full(len(g), -np.log(256.0))
-        seen, out = self._find(g, lang, m, False)
-        out = out.astype(np.float64)
-        miss = np.flatnonzero(~seen)
-        if len(miss):
-            known, gamma = self._find(g[miss] >> np.uint64(8), lang, m, True)
-            lower = self.logp(g[miss] & np.uint64((1 << (8 * (m - 1))) - 1), lang, m - 1)
-            out[miss] = np.where(known, gamma, 0.0) + lower
-        return out
+    """Log-probabilities of the n-grams of one block, in sorted arrays by language."""
+
+    def __init__(self, langs: np.ndarray, g: np.ndarray, logs: np.ndarray) -> None:
+        self.tables = {}
+        for lang in set(langs.tolist()):
+            own = langs == lang
+            order = np.argsort(g[own], kind="stable")
+            self.tables[lang] = (g[own][order].astype(np.uint64), logs[own][order])
+
+    def logp(self, g: np.ndarray, lang: str) -> np.ndarray:
+        """Log-probability of the last byte of each packed n-gram after those before it; every one of them is in the block's table."""
+        keys, logs = self.tables[lang]
+        i = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        if not (keys[i] == g).all():
+            raise ValueError("an n-gram of the block has no probability")
+        return logs[i]
 
     def score(self, texts: list[bytes], langs: list, take: np.ndarray) -> np.ndarray:
         """Mean negative log-probability per byte of the texts to ``take``; NaN elsewhere and where a text has no bytes."""
@@ -246,7 +248,7 @@ def _score(model, carried: int, batches: Iterable[pa.RecordBatch]) -> Iterator[p
             raw = [(t or "").encode() for t in texts[start : i + 1]]
             langs = part.column(carried + 1).to_pylist()
             found = stats(raw)
-            nll = model.value.score(raw, langs, ~found["base_failed"])
+            nll = model.score(raw, langs, ~found["base_failed"])
             arrays = [part.column(k) for k in range(carried)] + [pa.array([x or "" for x in langs])] + [pa.array(found[s], pa.int64()) for s in STATS]
             arrays += [pa.array(found["base_failed"]), pa.array(nll, from_pandas=True)]
             names = [f"c{k}" for k in range(carried)] + ["lang", *STATS, "base_failed", "nll"]
@@ -254,19 +256,30 @@ def _score(model, carried: int, batches: Iterable[pa.RecordBatch]) -> Iterator[p
             start, size = i + 1, 0
 
 
+def _score_block(carried: int, packed: pa.Table, values: pa.Table) -> pa.Table:
+    """A block's rows with their scores."""
+    langs = values["lang"].combine_chunks().dictionary_encode() if values.num_rows else None
+    names = np.array(langs.dictionary.to_pylist(), object)[langs.indices.to_numpy()] if langs is not None else np.zeros(0, object)
+    model = Model(names, values["g"].to_numpy(), values["logp"].to_numpy())
+    return pa.Table.from_batches([s for rows in zip(packed["size"].to_pylist(), packed["rows"].to_pylist()) for s in _score(model, carried, _unpacked(*rows))])
+
+
 def judge(df: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", spread: float = 8.0, above: float = 0.5, below: float = 1.0) -> DataFrame:
     """The ``carry`` columns of every row, then the counts, ``base_failed``, ``perplexity`` (a byte; null if not scored) and ``kept``.
 
     Null and empty texts have no words, so they fail the plain rules; null languages count as
     one language. An empty table gives no rows. Every row is judged by itself, repeated or not.
     """
-    spark = df.sparkSession
-    model = spark.sparkContext.broadcast(Model.fit(written(counted(df, text_col, lang_col), "counts")))
     fields = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carry)]
     fields += [T.StructField("lang", T.StringType())] + [T.StructField(s, T.LongType()) for s in STATS]
     fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("nll", T.DoubleType())]
     rows = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(carry)], df[text_col].alias("text"), df[lang_col].cast("string").alias("lang_"))
-    scored = written(rows.mapInArrow(functools.partial(_score, model, len(carry)), T.StructType(fields)), "scored")
+    packed = written(rows.mapInArrow(_packed, "block long, size long, rows binary"), "packed")  # numbers of blocks stay as they are from here on
+    grams = written(packed.mapInArrow(functools.partial(_count, len(carry)), "block long, lang string, g long, c long"), "grams")
+    logs = written(log_probabilities(written(grams.groupBy("lang", "g").agg(F.sum("c").alias("c")), "counts")), "logs")
+    values = grams.select("block", "lang", "g").join(logs, ["lang", "g"]).select("block", "lang", "g", "logp")
+    score = functools.partial(_score_block, len(carry))
+    scored = written(packed.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(lambda p, v: score(p, v), T.StructType(fields)), "scored")
 
     middle = written(scored.where("nll is not null").groupBy("lang").agg(F.percentile_approx("nll", 0.5, 10000).alias("middle")), "medians")
     away = scored.select("lang", "nll").where("nll is not null").join(middle, "lang").withColumn("away", F.abs(F.col("nll") - F.col("middle")))

@@ -144,6 +144,20 @@ def test_quality(spark, docs):
     assert quality.judge(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_quality_of_many_ngrams(spark):
+    """No n-gram or back-off weight is left out where hundreds of thousands of them stand in the model."""
+    rng = random.Random(3)
+    letters = "".join(map(chr, range(0x21, 0x7F))).translate({ord(c): None for c in "#*$%&|<>"})
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(9)) for _ in range(150))) for i in range(60)]
+    rows += [(60 + i, t + " # $ % & | < >" * 4) for i, t in rows[:3]]  # scored, not learned from
+    got = {r.doc_id: r.perplexity for r in quality.judge(frame(spark, rows), ["doc_id"]).collect()}
+    p = brute_kneser_ney([t.encode() for _, t in rows[:60]])
+    for i, t in rows:
+        b = bytes(quality.ORDER - 1) + t.encode()
+        nll = [-math.log(p(b[k - quality.ORDER + 1 : k + 1])) for k in range(quality.ORDER - 1, len(b))]
+        assert got[i] == pytest.approx(math.exp(sum(nll) / len(nll)), rel=1e-6)
+
+
 def test_chat(spark):
     said = spark.createDataFrame([(1, 0, "user", "a\\b # <x>: </turn>\n### assistant: hi"), (1, 1, "assistant", None), (1, 1, "assistant", "tie"), (2, 0, None, ""), (None, 0, "assistant", "é" * 3), (1, None, "system", "first")], "conv_id long, turn long, role string, text string")
     formatted = chat.reconstruct(chat.message_events(said))
