@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -124,12 +125,34 @@ def _permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
             return x
 
 
+#: Draw from which a form counts as nearly full and surrogates get longer, so that redrawing ends.
+WIDEN = 16
+_PUNCTUATION = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _DIGIT, _LOWER, _UPPER, _HEX, _KEY = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _same_form(value: str, key: bytes, tweak: str, alphabet: str = "") -> str:
-    """``value`` permuted among all strings of its form: each letter or digit stays one of its alphabet, other characters stay."""
-    sets = [alphabet if alphabet and c in alphabet else next((s for s in (_DIGIT, _LOWER, _UPPER) if c in s), "") for c in value]
+@functools.lru_cache(4096)
+def _like(c: str) -> str:
+    """Characters that may stand for one that is no ASCII letter or digit: punctuation, or its category among its 256 neighbours."""
+    if c in _PUNCTUATION:
+        return _PUNCTUATION
+    first = max(128, ord(c) & ~0xFF)
+    return "".join(x for x in map(chr, range(first, (ord(c) | 0xFF) + 1)) if unicodedata.category(x) == unicodedata.category(c) and not x.isspace())
+
+
+def _hashed(n: int, key: bytes, tweak: str) -> str:
+    """A keyed string of ``n`` letters and digits."""
+    h = int.from_bytes(hashlib.shake_256(key + tweak.encode()).digest(n + 16), "big")
+    out = []
+    for _ in range(n):
+        h, i = divmod(h, 36)
+        out.append((_DIGIT + _LOWER)[i])
+    return "".join(out)
+
+
+def _same_form(value: str, key: bytes, tweak: str, alphabet: str = "", every: bool = False) -> str:
+    """``value`` permuted among all strings of its form: each letter or digit stays one of its alphabet, other characters stay, or with ``every`` stay of their kind."""
+    sets = [alphabet if alphabet and c in alphabet else next((s for s in (_DIGIT, _LOWER, _UPPER) if c in s), _like(c) if every else "") for c in value]
     size, x = 1, 0
     for c, s in zip(value, sets):
         if s:
@@ -147,13 +170,16 @@ def _same_form(value: str, key: bytes, tweak: str, alphabet: str = "") -> str:
 
 
 def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
-    """The replacement of ``value``; another one for each ``draw``."""
+    """The replacement of ``value``; another one for each ``draw``, and from draw ``WIDEN`` a longer one where the form may be full."""
     tweak = f"{kind}/{draw}"
+    wider = max(0, draw - WIDEN + 1)
     if kind == "email":
         local, host = value.rsplit("@", 1)
         if not re.search(r"(^|\.)example\.(com|org|net)$", host, re.I):
             name, top = host.rsplit(".", 1)
             host = f"{_same_form(name, key, 'host')}.{top}"
+        if wider:
+            return f"{_hashed(len(local) + wider, key, f'{tweak}/{value}')}@{host}"
         return f"{_same_form(local, key, f'{tweak}/{host}')}@{host}"
     if kind == "ip":
         x = _permute(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, key, tweak.encode())
@@ -174,7 +200,10 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     if kind == "phone":
         lead = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+", value)
         cut = lead.end() if lead else 0
-        return value[:cut] + _same_form(value[cut:], key, f"{tweak}/{value[:cut]}")
+        rest = value[cut:]
+        if wider and sum(map(str.isdigit, rest)) < 9:
+            rest += "-0000"
+        return value[:cut] + _same_form(rest, key, f"{tweak}/{value[:cut]}")
     if kind == "name":
         title, *words = value.split(" ")
         script = next((s for s, (a, b) in {"cyrillic": (0x400, 0x52F), "greek": (0x370, 0x3FF)}.items() if a <= ord(words[-1][0]) <= b), "latin")
@@ -193,7 +222,9 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
                 parts.append("".join(said).capitalize())
         return " ".join([title, *parts])
     lead = _LEAD.get(kind, 0)
-    return value[:lead] + _same_form(value[lead:], key, f"{tweak}/{value[:lead]}", {"awskey": _KEY, "hexkey": _HEX, "password": _HEX if re.fullmatch("[0-9a-f]+", value) else ""}.get(kind, ""))
+    if kind in ("password", "token") and (wider or not re.search("[^_-]", value[lead:])):
+        return value[:lead] + _hashed(len(value) - lead + wider, key, f"{tweak}/{value}")
+    return value[:lead] + _same_form(value[lead:], key, f"{tweak}/{value[:lead]}", {"awskey": _KEY, "hexkey": _HEX, "password": _HEX if re.fullmatch("[0-9a-f]+", value) else ""}.get(kind, ""), every=kind == "password")
 
 
 def _entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

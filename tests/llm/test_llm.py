@@ -213,6 +213,20 @@ def test_pii(spark):
     assert len(set(final)) == 1000
 
 
+def test_pii_forms_without_another_value(spark):
+    key = b"k"
+    rows = [("password", "********"), ("password", "...."), ("password", "пароль"), ("token", "sk-" + "_" * 16)]
+    for kind, value in rows:
+        assert pii.surrogate(kind, value, key) != value and len({pii.surrogate(kind, value, key, n) for n in range(20)}) > 10
+    rows += [("email", f"{i}@example.com") for i in range(10)]
+    assert any(pii.surrogate(*rows[-1], key, n) not in {v for _, v in rows} for n in range(40))  # else the next line has no end
+    odd = {(r.kind, r.value): r.surrogate for r in pii.redrawn(spark.createDataFrame(rows, "kind string, value string"), key).collect()}
+    final = [odd.get(r) or pii.surrogate(*r, key) for r in rows]
+    assert len(set(final)) == len(rows) and not set(final) & {v for _, v in rows}
+    out = pii.replace(frame(spark, [(1, "my password=******** here")])).collect()[0]
+    assert out.text.startswith("my password=") and "********" not in out.text and out.n_entities == 1
+
+
 def test_suffix_arrays():
     rng = random.Random(6)
     for _ in range(500):
