@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -54,14 +55,19 @@ _FIND = re.compile(
     r"|(?P<token>\b(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}\b)"
     r"|(?P<password>(?<=password=)[^\s\"']{4,}|(?<=password: )[^\s\"']{4,})"
     r"|(?P<hexkey>\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}\b)"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\d]|\.\d))"
-    r"|(?P<card>(?<![\d-])(?=4|5[1-5]|3[47]|6011|65)[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\d-]))"
+    r"|(?P<card>(?<![\d-])(?=4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3(?:0[0-5]|09|[4-9])|6(?:011|2|4[4-9]|5))(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\d)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\d)|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-]))"
     rf"|(?P<name>(?<!\w)(?:{_TITLE})\.? {_WORD}+(?:-{_WORD}+)?(?: {_WORD}+(?:-{_WORD}+)?)?)"
 )
-_MAYBE = re.compile(r"[0-9@]|password")
+_MAYBE = re.compile(r"[0-9@]|password|AKIA|ASIA|(?:sk|pk|ghp|gho|xox[abp])[-_]")
+# Characters of an IBAN by country.
+IBAN_LENGTH = dict(zip(
+    "AD AE AL AT AZ BA BE BG BH BI BR BY CH CR CY CZ DE DJ DK DO EE EG ES FI FK FO FR GB GE GI GL GR GT HN HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MN MR MT MU NI NL NO OM PK PL PS PT QA RO RS RU SA SC SD SE SI SK SM SO ST SV TL TN TR UA VA VG XK YE".split(),
+    map(int, "24 23 28 20 28 20 16 22 22 27 29 28 21 22 28 24 22 27 18 28 20 29 24 18 18 18 27 22 22 23 18 27 28 28 21 28 22 23 23 26 27 30 30 20 28 32 21 20 20 21 25 27 24 22 19 20 27 31 30 28 18 15 23 24 28 29 25 29 24 22 33 24 31 18 24 19 24 27 23 25 28 23 24 26 29 22 24 20 30".split()),
+))
 _LEAD = {"awskey": 4, "token": 3, "iban": 2}
 
 
@@ -74,37 +80,44 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
-def _iban_ok(value: str) -> bool:
+def _iban(value: str, after: str) -> str | None:
+    """The IBAN that ``value`` starts with, cut to its country's length; ``after`` is the character behind ``value``."""
+    size = IBAN_LENGTH.get(value[:2])
+    if size:
+        ends = [i + 1 for i, c in enumerate(value) if c != " "]
+        if len(ends) < size:
+            return None
+        value, after = value[: ends[size - 1]], (value + after)[ends[size - 1] :][:1]
     s = value.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    whole = not (after.isalnum() or after == "_")
+    return value if whole and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1 else None
+
+
+def _checked(kind: str, value: str, after: str) -> str | None:
+    """What of a match is an entity: its start, as far as its checks and words go."""
+    if kind == "iban":
+        return _iban(value, after)
+    if kind == "card":
+        digits = "".join(filter(str.isdigit, value))
+        return value if 13 <= len(digits) <= 19 and int(digits[-1]) == luhn(digits[:-1]) else None
+    if kind == "name":
+        title, *words = value.split(" ")
+        named = list(itertools.takewhile(lambda w: w[0].isupper(), words))
+        return " ".join([title, *named]) if named else None
+    return value
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of the entities of a text, in order, none overlapping."""
+    """(start, end, kind, value) of the entities of a text, in order, none overlapping; a rejected match hides nothing behind its first character."""
     if not _MAYBE.search(text) and not any(t in text for t in TITLES):
         return []
-    out = []
-    for m in _FIND.finditer(text):
-        kind, value = m.lastgroup, m[0]
-        if kind == "iban" and not _iban_ok(value):
-            continue
-        if kind == "card":
-            digits = "".join(filter(str.isdigit, value))
-            if not 13 <= len(digits) <= 19 or int(digits[-1]) != luhn(digits[:-1]):
-                continue
+    out, at = [], 0
+    while m := _FIND.search(text, at):
         start, end = m.span()
-        if kind == "name":
-            title, *words = value.split(" ")
-            named = []
-            for w in words:
-                if not w[0].isupper():
-                    break
-                named.append(w)
-            if not named:
-                continue
-            value = " ".join([title, *named])
-            end = start + len(value)
-        out.append((start, end, kind, value))
+        value = _checked(m.lastgroup, m[0], text[end : end + 1])
+        at = start + (1 if value is None else len(value))
+        if value is not None:
+            out.append((start, at, m.lastgroup, value))
     return out
 
 
@@ -186,7 +199,7 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
         return ".".join(map(str, x.to_bytes(4, "big")))
     if kind == "card":
         digits = "".join(filter(str.isdigit, value))
-        lead = digits[: 1 if digits[0] == "4" else 4 if digits.startswith("6011") else 2]
+        lead = digits[: 1 if digits[0] == "4" else 4 if digits.startswith(("2", "6011")) else 3 if digits.startswith(("30", "64")) else 2]
         new = lead + _same_form(digits[len(lead) : -1], key, f"{tweak}/{lead}")
         new += str(luhn(new))
         it = iter(new)
