@@ -43,18 +43,23 @@ def _line(value: Column) -> Column:
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
-    """``page_id, url, payload, digest, target``: ``target`` is the page whose equal payload of at least ``least`` bytes this one revisits, else null."""
+    """``page_id, url, payload, digest, mark, target, target_mark``: ``target`` is the page whose equal payload of at least ``least`` bytes this one revisits, else null.
+
+    ``mark`` is the row's own number, ``target_mark`` that of one row of the target. They hold as
+    long as ``pages`` gives its rows in one order each time it is read, as files do.
+    """
     payload = text_bytes(pages[html_col])
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), payload.alias("payload"))
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("mark"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "bytes": F.length("payload").cast("long")})
     # equal payloads are told by SHA-256; counted before the join, so a payload that stands on many pages costs one row a task
     # (columns are computed again below, which is cheaper than moving payloads)
     same = F.sha2("payload", 256)
-    largest = rows.where(F.col("bytes") >= least).groupBy(same.alias("same")).agg(F.max("page_id").alias("largest"), F.count("*").alias("copies"))
+    largest = rows.where(F.col("bytes") >= least).groupBy(same.alias("same")).agg(F.max(F.struct("page_id", "mark")).alias("largest"), F.count("*").alias("copies"))
     largest = largest.where("copies > 1").drop("copies")
     keyed = rows.withColumn("same", F.when(F.col("bytes") >= least, same))
-    target = F.when(F.col("largest") != F.col("page_id"), F.col("largest"))
-    return keyed.join(largest, "same", "left").withColumn("target", target).drop("same", "largest")
+    other = F.col("largest.page_id") != F.col("page_id")
+    targets = {"target": F.when(other, F.col("largest.page_id")), "target_mark": F.when(other, F.col("largest.mark"))}
+    return keyed.join(largest, "same", "left").withColumns(targets).drop("same", "largest")
 
 
 def write(pages: DataFrame, path: str, **columns: str) -> None:
@@ -62,14 +67,15 @@ def write(pages: DataFrame, path: str, **columns: str) -> None:
 
     Equal payloads of 1000 bytes or more: the largest page id is the response, the others
     revisit it. A null html is an empty payload, a null url an empty target; line breaks in
-    a url become spaces. Rows need an id: rows whose id is null are written with the id of
-    no page (their records carry no page number). Rows repeated with one id count as one
-    capture each, told apart only if their ids differ.
+    a url become spaces. Each row is one capture with record ids of its own, also where ids
+    repeat or are null (metadata then says that the page is ``none``); a revisit refers to
+    one response of its target page.
     """
     rows = plan(pages, **columns).withColumn("url", F.coalesce("url", F.lit("")))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     date = F.lit("2024-01-01T00:00:00Z")
-    main = _urn("capture", page)
+    own = F.col("mark").cast("string")
+    main = _urn("capture", own)
     common = [("WARC-Target-URI", _line(F.col("url"))), ("WARC-Date", date)]
     http = F.encode(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF * 2}"), "UTF-8")
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
@@ -77,11 +83,11 @@ def write(pages: DataFrame, path: str, **columns: str) -> None:
     response = _record("response", [("WARC-Record-ID", main), *common, ("Content-Type", F.lit("application/http;msgtype=response")), digest], F.concat(http, "payload"))
     revisit = _record(
         "revisit",
-        [("WARC-Record-ID", main), *common, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", _urn("capture", F.col("target").cast("string"))), ("Content-Type", F.lit("application/http;msgtype=response")), digest, size],
+        [("WARC-Record-ID", main), *common, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", _urn("capture", F.col("target_mark"))), ("Content-Type", F.lit("application/http;msgtype=response")), digest, size],
         http,
     )
-    request = _record("request", [("WARC-Record-ID", _urn("request", page)), ("WARC-Concurrent-To", main), *common, ("Content-Type", F.lit("application/http;msgtype=request"))], F.encode(F.concat(F.lit("GET "), _line(F.col("url")), F.lit(f" HTTP/1.1{CRLF * 2}")), "UTF-8"))
-    metadata = _record("metadata", [("WARC-Record-ID", _urn("metadata", page)), ("WARC-Concurrent-To", main), *common, ("Content-Type", F.lit("application/warc-fields"))], F.encode(F.concat(F.lit("page: "), page, F.lit(CRLF)), "UTF-8"))
+    request = _record("request", [("WARC-Record-ID", _urn("request", own)), ("WARC-Concurrent-To", main), *common, ("Content-Type", F.lit("application/http;msgtype=request"))], F.encode(F.concat(F.lit("GET "), _line(F.col("url")), F.lit(f" HTTP/1.1{CRLF * 2}")), "UTF-8"))
+    metadata = _record("metadata", [("WARC-Record-ID", _urn("metadata", own)), ("WARC-Concurrent-To", main), *common, ("Content-Type", F.lit("application/warc-fields"))], F.encode(F.concat(F.lit("page: "), page, F.lit(CRLF)), "UTF-8"))
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
     three = F.concat(request, end, F.when(F.col("target").isNull(), response).otherwise(revisit), end, metadata)
     rows.select(three.cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS // 3).option("compression", "gzip").text(path)

@@ -289,6 +289,19 @@ def test_warc(spark, tmp_path):
     warc.write(pages.limit(0), str(tmp_path / "e"))
 
 
+def test_warc_of_repeated_and_null_ids(spark, tmp_path):
+    big = "payload " * 200
+    rows = [(7, "u", big)] * 3 + [(None, "n", big)] * 4 + [(None, None, None)] * 2 + [(9, "t", big)] * 2 + [(8, "s", "small")] * 2
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = warc.captures(warc.read(spark, str(tmp_path / "w"))).collect()
+    assert collections.Counter(r.page_id for r in got) == collections.Counter(r[0] for r in rows)
+    pages = {r.record_id: r.page_id for r in got}
+    assert len(pages) == len(rows)
+    for r in got:
+        assert r.capture.record_type == ("revisit" if r.page_id == 7 else "response")
+        assert r.page_id != 7 or pages[r.capture.refers_to] == 9
+
+
 @pytest.mark.parametrize("factor", [1.0, 1.5])
 def test_ann(spark, factor):
     rng = np.random.default_rng(7)
