@@ -2,7 +2,8 @@
 
 Vectors are dealt to shards of about ``shard_rows`` by a hash of their id. A
 shard's task builds a tree: a vantage point splits its rows at the median
-distance, down to leaves of ``leaf`` rows. A query, sent to every shard, visits
+distance, down to leaves of ``leaf`` rows. A query, sent to every shard in
+a block of bounded size, visits
 a child unless the triangle inequality says that it holds nothing nearer than
 ``radius / factor`` (radius: the k-th best so far): factor 1 is exact, above 1
 fewer leaves are read. The k best of each shard are merged by rank.
@@ -94,18 +95,21 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(ok)
 
 
-def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, factor: float = 1.0, shard_rows: int = 8192, leaf: int = 512) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, factor: float = 1.0, shard_rows: int = 8192, leaf: int = 512, query_rows: int = 65536) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of ``df`` by Euclidean distance for each of ``queries``, which have the same columns.
 
     A row with the query's own id is no candidate; ties go to the smaller id. Vectors
     that are null, zero, or hold null or non-finite components take no part, nor do
-    null ids. A vector is compared with those of its own length only.
+    null ids. A vector is compared with those of its own length only. A task holds one shard
+    and one block of about ``query_rows`` queries; a shard's tree is built for each block.
     """
     points, asked = usable(df, id_col, vec_col), usable(queries, id_col, vec_col)
     shards = max(1, -(-points.count() // shard_rows))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    spread = [d.repartition(shards, "shard").groupBy("shard") for d in (points, asked)]
+    blocks = max(1, -(-asked.count() // query_rows))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    points = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
+    spread = [d.repartition(shards * blocks, "shard", "block").groupBy("shard", "block") for d in (points, asked)]
     found = spread[0].cogroup(spread[1]).applyInPandas(functools.partial(_search, k, factor, leaf), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -302,6 +302,14 @@ def test_warc_of_repeated_and_null_ids(spark, tmp_path):
         assert r.page_id != 7 or pages[r.capture.refers_to] == 9
 
 
+def test_ann_by_blocks_of_queries(spark):
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(5).normal(size=(600, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 10 = 0")
+    whole, cut = (sorted(map(tuple, ann.search(df, asked, shard_rows=200, query_rows=n).collect())) for n in (1000, 7))
+    assert whole == cut and len(cut) == 600
+
+
 @pytest.mark.parametrize("factor", [1.0, 1.5])
 def test_ann(spark, factor):
     rng = np.random.default_rng(7)
