@@ -3,15 +3,19 @@
 Entities are found by one pattern per kind. Each is replaced by a value of its
 own kind that looks like it: letters stay letters of their case and script,
 digits digits, punctuation, country codes, key prefixes and check digits keep
-their form, and names keep their number of words and the gender of their title.
-Replacements are keyed: a permutation of all values of the same form (a Feistel
-network over mixed radixes, walked until it stays in range), so one value always
-gets one surrogate and two values of one form never share one. Names, of which
-there is no such set, are drawn by a keyed hash.
+their form. Replacements are keyed: a permutation of all values of the same form
+(a Feistel network over mixed radixes, walked until it stays in range), so one value
+always gets one surrogate and two values of one form never share one.
+
+People are found by their titles, and then by the same names without a title in the
+same text. A name is replaced word by word, vowels by vowels and consonants by
+consonants of its script, so "Ms. Ada Byron", "Dr Byron" and "Ada" stay one person in
+all texts. Titles stay; a given name gets the ending of the gender that the titles
+before it tell in the whole corpus (of both genders or none: no ending).
 
 Collisions are checked over the whole corpus: where two values have one
 surrogate, or a surrogate is itself a value that occurs, the later one (in the
-order of values) is drawn anew until none is left.
+order of values) is drawn anew until none is left, from some draw on in longer forms.
 """
 
 from __future__ import annotations
@@ -36,17 +40,12 @@ TITLES = {
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mademoiselle": "f", "Señora": "f", "Señorita": "f", "Sra": "f", "Госпожа": "f", "Κυρία": "f",
     "Dr": "n", "Prof": "n", "Professor": "n",
 }
-# Given names by script and gender, and syllables of family names by script.
-GIVEN = {
-    "latin": {"m": ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Leon", "Oscar"], "f": ["Anna", "Clara", "Diana", "Elena", "Flora", "Irene", "Julia", "Laura", "Maria", "Nora"], "n": ["Alex", "Andrea", "Chris", "Kim", "Luca", "Noel", "Robin", "Sasha", "Sam", "Toni"]},
-    "cyrillic": {"m": ["Иван", "Олег", "Пётр", "Антон", "Борис"], "f": ["Анна", "Вера", "Ольга", "Нина", "Ирина"], "n": ["Саша", "Женя", "Валя", "Слава", "Шура"]},
-    "greek": {"m": ["Νίκος", "Πέτρος", "Γιώργος", "Κώστας", "Μάριος"], "f": ["Άννα", "Ελένη", "Μαρία", "Σοφία", "Ειρήνη"], "n": ["Άρης", "Μελίνα", "Ντένις", "Φοίβη", "Χάρις"]},
-}
-SYLLABLES = {
-    "latin": ["bar", "ben", "cor", "dal", "den", "fal", "gar", "hal", "kel", "lan", "mar", "mor", "nel", "ral", "sel", "tor", "val", "ver", "wen", "zan"],
-    "cyrillic": ["бар", "вол", "гор", "дар", "зор", "кор", "лис", "мор", "нов", "пол", "ров", "сол", "тов", "чер", "шат"],
-    "greek": ["βαλ", "γερ", "δημ", "ζαρ", "καλ", "λαμ", "μαν", "νικ", "παπ", "ραλ", "σαρ", "ταν", "φιλ", "χατ", "ψαρ"],
-}
+# Vowels and consonants by script, and endings of given names by gender.
+LETTERS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ")}
+ENDINGS = {"latin": ("", "no", "na"), "cyrillic": ("", "мир", "на"), "greek": ("", "νος", "να")}
+_CLASSES = tuple(f(x) for pair in LETTERS.values() for x in pair for f in (str.lower, str.upper))
+#: Bits of the genders that titles tell.
+GENDER = {"n": 0, "m": 1, "f": 2}
 _WORD = r"[^\W\d_]"
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 _FIND = re.compile(
@@ -60,8 +59,9 @@ _FIND = re.compile(
     r"|(?P<card>(?<![\d-])(?=4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3(?:0[0-5]|09|[4-9])|6(?:011|2|4[4-9]|5))(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\d)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\d)|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-]))"
-    rf"|(?P<name>(?<!\w)(?:{_TITLE})\.? {_WORD}+(?:-{_WORD}+)?(?: {_WORD}+(?:-{_WORD}+)?)?)"
+    rf"|(?P<name>(?<!\w)(?:{_TITLE})\.?(?: {_WORD}+(?:-{_WORD}+)*){{1,3}})"
 )
+_SAID = re.compile(rf"(?<!\w){_WORD}+(?:-{_WORD}+)*(?!\w)")
 _MAYBE = re.compile(r"[0-9@]|password|AKIA|ASIA|(?:sk|pk|ghp|gho|xox[abp])[-_]")
 # Characters of an IBAN by country.
 IBAN_LENGTH = dict(zip(
@@ -107,20 +107,47 @@ def _checked(kind: str, value: str, after: str) -> str | None:
     return value
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of the entities of a text, in order, none overlapping; a rejected match hides nothing behind its first character."""
+def scan(text: str) -> list[tuple[int, int, str, str, int]]:
+    """(start, end, kind, value, gender) of the entities of a text, in order, none overlapping; a rejected match hides nothing behind its first character.
+
+    Each word of a name is an entity of its own, behind a title or not, if it stands behind
+    one anywhere in the text; ``gender`` has the bits of what a title tells of a given name.
+    """
     if not _MAYBE.search(text) and not any(t in text for t in TITLES):
         return []
-    out, at = [], 0
+    out, at, titled = [], 0, {}
     while m := _FIND.search(text, at):
         start, end = m.span()
         value = _checked(m.lastgroup, m[0], text[end : end + 1])
         at = start + (1 if value is None else len(value))
-        if value is not None:
-            out.append((start, at, m.lastgroup, value))
+        if value is None:
+            continue
+        if m.lastgroup != "name":
+            out.append((start, at, m.lastgroup, value, 0))
+            continue
+        title, *said = value.split(" ")
+        place = start + len(title) + 1
+        for i, word in enumerate(said):
+            titled[word] = titled.get(word, 0) | (GENDER[TITLES[title.rstrip(".")]] if i + 1 < len(said) else 0)
+            out.append((place, place + len(word), "name", word, 0))
+            place += len(word) + 1
+    if titled:
+        taken, k, more = sorted(out), 0, []
+        for m in _SAID.finditer(text):
+            if m[0] in titled:
+                while k < len(taken) and taken[k][1] <= m.start():
+                    k += 1
+                if k == len(taken) or taken[k][0] >= m.end():
+                    more.append((*m.span(), "name", m[0], 0))
+        out = [(*e[:4], titled[e[3]]) if e[2] == "name" else e for e in sorted(out + more)]
     return out
 
 
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """``scan`` without genders."""
+    return [e[:4] for e in scan(text)]
+
+
 def _permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
     """A keyed permutation of ``range(size)``: eight Feistel rounds over the next even number of bits, repeated while out of range."""
     if size < 2:
@@ -140,6 +167,8 @@ def _permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
 
 #: Draw from which a form counts as nearly full and surrogates get longer, so that redrawing ends.
 WIDEN = 16
+#: Draws after which something is wrong: forms have grown by dozens of characters then.
+ROUNDS = 64
 _PUNCTUATION = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _DIGIT, _LOWER, _UPPER, _HEX, _KEY = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -163,9 +192,8 @@ def _hashed(n: int, key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
-def _same_form(value: str, key: bytes, tweak: str, alphabet: str = "", every: bool = False) -> str:
-    """``value`` permuted among all strings of its form: each letter or digit stays one of its alphabet, other characters stay, or with ``every`` stay of their kind."""
-    sets = [alphabet if alphabet and c in alphabet else next((s for s in (_DIGIT, _LOWER, _UPPER) if c in s), _like(c) if every else "") for c in value]
+def _permuted(value: str, sets: list[str], key: bytes, tweak: str) -> str:
+    """``value`` permuted among all strings whose characters are in ``sets``; where a set is empty, the character stays."""
     size, x = 1, 0
     for c, s in zip(value, sets):
         if s:
@@ -182,8 +210,27 @@ def _same_form(value: str, key: bytes, tweak: str, alphabet: str = "", every: bo
     return "".join(reversed(out))
 
 
-def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
-    """The replacement of ``value``; another one for each ``draw``, and from draw ``WIDEN`` a longer one where the form may be full."""
+def _same_form(value: str, key: bytes, tweak: str, alphabet: str = "", every: bool = False) -> str:
+    """``value`` permuted among all strings of its form: each letter or digit stays one of its alphabet, other characters stay, or with ``every`` stay of their kind."""
+    sets = [alphabet if alphabet and c in alphabet else next((s for s in (_DIGIT, _LOWER, _UPPER) if c in s), _like(c) if every else "") for c in value]
+    return _permuted(value, sets, key, tweak)
+
+
+def _name(word: str, key: bytes, tweak: str, wider: int, gender: int) -> str:
+    """A word of a name: vowels stay vowels and consonants consonants of their script; then the ending for a gender, before it ``wider`` syllables."""
+    new = _permuted(word, [next((s for s in _CLASSES if c in s), "" if c == "-" else _like(c)) for c in word], key, tweak)
+    script = next((s for s, (a, b) in {"cyrillic": (0x400, 0x52F), "greek": (0x370, 0x3FF)}.items() if a <= ord(word[-1]) <= b), "latin")
+    h = int.from_bytes(hashlib.shake_256(f"{tweak}/{word}".encode() + key).digest(16 + wider), "big")
+    vowels, consonants = LETTERS[script]
+    for _ in range(wider):
+        h, i = divmod(h, len(vowels) * len(consonants))
+        new += consonants[i % len(consonants)] + vowels[i // len(consonants)]
+    new += ENDINGS[script][gender % 3]
+    return new.upper() if word.isupper() and len(word) > 1 else new
+
+
+def surrogate(kind: str, value: str, key: bytes, draw: int = 0, gender: int = 0) -> str:
+    """The replacement of ``value``; another one for each ``draw``, and from draw ``WIDEN`` a longer one where the form may be full. ``gender``: bits that tell a given name's, both like none."""
     tweak = f"{kind}/{draw}"
     wider = max(0, draw - WIDEN + 1)
     if kind == "email":
@@ -218,22 +265,7 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
             rest += "-0000"
         return value[:cut] + _same_form(rest, key, f"{tweak}/{value[:cut]}")
     if kind == "name":
-        title, *words = value.split(" ")
-        script = next((s for s, (a, b) in {"cyrillic": (0x400, 0x52F), "greek": (0x370, 0x3FF)}.items() if a <= ord(words[-1][0]) <= b), "latin")
-        h = int.from_bytes(hashlib.blake2b(f"{tweak}/{value}".encode(), key=key, digest_size=32).digest(), "big")
-        parts = []
-        for i in range(len(words)):
-            if i == 0 and len(words) > 1:
-                names = GIVEN[script][TITLES[title.rstrip(".")]]
-                h, k = divmod(h, len(names))
-                parts.append(names[k])
-            else:
-                said = []
-                for _ in range(3 + draw // 50):
-                    h, k = divmod(h, len(SYLLABLES[script]))
-                    said.append(SYLLABLES[script][k])
-                parts.append("".join(said).capitalize())
-        return " ".join([title, *parts])
+        return _name(value, key, tweak, wider, gender)
     lead = _LEAD.get(kind, 0)
     if kind in ("password", "token") and (wider or not re.search("[^_-]", value[lead:])):
         return value[:lead] + _hashed(len(value) - lead + wider, key, f"{tweak}/{value}")
@@ -243,35 +275,41 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
 def _entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, marks, texts = (b.column(i).to_pylist() for i in range(3))
-        rows = [(i, m, k, v) for i, m, t in zip(ids, marks, texts) for k, v in {(e[2], e[3]) for e in find(t or "")}]
-        cols = list(zip(*rows)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["d", "t", "kind", "value"])
+        rows = [(i, m, *e) for i, m, t in zip(ids, marks, texts) for e in {e[2:] for e in scan(t or "")}]
+        cols = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["d", "t", "kind", "value", "gender"])
 
 
 def _draw(key: bytes, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        kind, value, draw = (b.column(i).to_pylist() for i in range(3))
-        new = [surrogate(*x, key=key, draw=n) for *x, n in zip(kind, value, draw)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "value", "draw", "surrogate"])
+        kind, value, gender, draw = (b.column(i).to_pylist() for i in range(4))
+        new = [surrogate(k, v, key, n, g) for k, v, g, n in zip(kind, value, gender, draw)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "value", "gender", "draw", "surrogate"])
 
 
 def redrawn(values: DataFrame, key: bytes) -> DataFrame:
-    """``kind, value, draw, surrogate`` of those distinct ``kind, value`` whose first surrogate collides; of the others the first one stands."""
-    schema = "kind string, value string, draw int, surrogate string"
+    """``kind, value, gender, draw, surrogate`` of those distinct ``kind, value`` (with the bits of their genders) that don't get ``surrogate(kind, value, key)``: the first one collides, or a gender is known.
+
+    A round draws anew only for what still collides, and from round ``WIDEN`` on in forms that
+    grow by a character or more a round, so few rounds are left then.
+    """
+    schema = "kind string, value string, gender int, draw int, surrogate string"
     draw = functools.partial(_draw, key)
-    now = written(values.withColumn("draw", F.lit(0)).mapInArrow(draw, schema), "surrogates")
-    taken = values.select("kind", F.col("value").alias("surrogate"))
-    while True:
-        owner = now.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"))
-        marked = now.join(owner, ["kind", "surrogate"]).join(taken.withColumn("occurs", F.lit(True)), ["kind", "surrogate"], "left")
-        clash = (F.col("owner") != F.col("value")) | F.col("occurs").isNotNull()
-        again = written(marked.where(clash).select("kind", "value", "draw"), "clashes")
-        if again.isEmpty():
-            return now.where("draw > 0")
-        fresh = again.withColumn("draw", F.col("draw") + 1).mapInArrow(draw, schema)
-        rest = now.join(again.select("kind", "value"), ["kind", "value"], "left_anti")
-        now = written(rest.unionByName(fresh), "surrogates")
+    values = values.select("kind", "value", F.col("gender").cast("int").alias("gender"))
+    taken = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("occurs"))
+    todo, settled = values.withColumn("draw", F.lit(0)), []
+    for _ in range(ROUNDS):
+        fresh = written(todo.mapInArrow(draw, schema), "surrogates")
+        owner = fresh.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"))
+        used = functools.reduce(DataFrame.unionByName, [taken, *[s.select("kind", "surrogate", F.lit(True).alias("occurs")) for s in settled]])
+        marked = fresh.join(owner, ["kind", "surrogate"]).join(used, ["kind", "surrogate"], "left")
+        marked = written(marked.withColumn("clash", (F.col("owner") != F.col("value")) | F.col("occurs").isNotNull()).select("kind", "value", "gender", "draw", "surrogate", "clash"), "drawn")
+        settled.append(marked.where("not clash").drop("clash"))
+        todo = marked.where("clash").select("kind", "value", "gender", F.col("draw") + 1)
+        if todo.isEmpty():
+            return functools.reduce(DataFrame.unionByName, settled).where("draw > 0 or gender % 3 > 0")
+    raise ValueError(f"values without a surrogate after {ROUNDS} draws")
 
 
 def _replace(key: bytes, carried: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +344,9 @@ def replace(df: DataFrame, key: bytes = b"snapweave", carry: tuple[str, ...] = (
     """
     mark = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     rows = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))).alias("d"), df[text_col].alias("text")).withColumn("t", mark)
-    found = written(rows.select("d", "t", "text").mapInArrow(_entities, "d long, t long, kind string, value string"), "entities")
-    odd = written(redrawn(found.select("kind", "value").distinct(), key), "redrawn")
-    per_doc = found.join(odd, ["kind", "value"]).groupBy("d", "t").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("redrawn"))
+    found = written(rows.select("d", "t", "text").mapInArrow(_entities, "d long, t long, kind string, value string, gender int"), "entities")
+    odd = written(redrawn(written(found.groupBy("kind", "value").agg(F.bit_or("gender").alias("gender")), "values"), key), "redrawn")
+    per_doc = found.drop("gender").join(odd.drop("gender", "draw"), ["kind", "value"]).groupBy("d", "t").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("redrawn"))
     per_doc = written(per_doc, "redrawn")  # its size is known before the join is planned: texts are shuffled only if it is large
     both = rows.join(per_doc, ["d", "t"], "left").select(*[f"c{i}" for i in range(len(carry))], "text", "redrawn")
     fields = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carry)] + [T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType())]

@@ -207,10 +207,35 @@ def test_pii(spark):
     assert out[2].text.count(mail) == 2
     key = b"k"
     assert len({pii.surrogate("ssn", f"{i:03d}-00-0000", key) for i in range(1000)}) == 1000
-    values = spark.createDataFrame([("name", f"Mr {a}{b}{c}") for a in "ABCDEFGHIJ" for b in "abcdefghij" for c in "klmnopqrst"], "kind string, value string")
+    values = spark.createDataFrame([("name", f"{a}{b}{c}", i % 4) for a in "ABCDEFGHIJ" for i, b in enumerate("abcdefghij") for c in "klmnopqrst"], "kind string, value string, gender int")
     odd = {r.value: r.surrogate for r in pii.redrawn(values, key).collect()}
     final = [odd.get(r.value) or pii.surrogate("name", r.value, key) for r in values.collect()]
-    assert len(set(final)) == 1000
+    assert len(set(final)) == 1000 and not set(final) & {r.value for r in values.collect()}
+
+
+def test_pii_people(spark):
+    """One person keeps one surrogate whatever stands before the name, and two people never share one."""
+    rng = random.Random(12)
+    given = {"Ada": "Ms.", "Karl": "Mr", "Ольга": "Г-жа", "Νίκος": "Κύριος", "Ida": "Frau", "Li": "Mr", "Lu": "Mrs", "José-Luis": "Señor"}
+    family = ["Byron", "Li", "Lu", "Borgmann", "Petrov", "Иванова", "Παππάς", "O", "Müller"]
+    people = [(g, f) for g in given for f in family]
+    rows = []
+    for i in range(80):
+        g, f = rng.choice(people)
+        title = given[g] if given[g] in pii.TITLES else rng.choice(["Frau", "Mrs", "Госпожа"]) if g == "Ольга" else given[g]
+        mentions = [f"{title} {g} {f}", f"Dr {g} {f}", f"{g} {f}", f, g, f"Prof. {f}"]
+        rows.append((i, " said , ".join([mentions[0], *rng.sample(mentions[1:], 4)]), (g, f)))
+    got = {r.doc_id: r.text for r in pii.replace(frame(spark, [r[:2] for r in rows])).collect()}
+    names: dict[str, str] = {}
+    for i, text, (g, f) in rows:
+        for old, new in zip(text.split(" said , "), got[i].split(" said , ")):
+            a, b = ([w for w in x.split(" ") if w.rstrip(".") not in pii.TITLES] for x in (old, new))
+            assert len(a) == len(b) and old.split(" ")[: -len(a)] == new.split(" ")[: -len(b)]
+            for x, y in zip(a, b):
+                assert names.setdefault(x, y) == y and x != y
+    assert len(set(names.values())) == len(names) and not set(names.values()) & set(names)
+    assert names["Ada"].endswith("na") and names["Karl"].endswith("no") and names["Ольга"].endswith("на") and names["Νίκος"].endswith("νος")
+    assert [x[3] for x in pii.find("Dr Will wills it. Will Byron? willing Will's WILL")] == ["Will"] * 3
 
 
 def test_pii_forms_without_another_value(spark):
@@ -220,7 +245,9 @@ def test_pii_forms_without_another_value(spark):
         assert pii.surrogate(kind, value, key) != value and len({pii.surrogate(kind, value, key, n) for n in range(20)}) > 10
     rows += [("email", f"{i}@example.com") for i in range(10)]
     assert any(pii.surrogate(*rows[-1], key, n) not in {v for _, v in rows} for n in range(40))  # else the next line has no end
-    odd = {(r.kind, r.value): r.surrogate for r in pii.redrawn(spark.createDataFrame(rows, "kind string, value string"), key).collect()}
+    rows += [("name", c) for c in "AEIOUBCDFGHJKLMNPQRSTVWXYZ"]  # all names of one letter
+    values = spark.createDataFrame([(*r, 0) for r in rows], "kind string, value string, gender int")
+    odd = {(r.kind, r.value): r.surrogate for r in pii.redrawn(values, key).collect()}
     final = [odd.get(r) or pii.surrogate(*r, key) for r in rows]
     assert len(set(final)) == len(rows) and not set(final) & {v for _, v in rows}
     out = pii.replace(frame(spark, [(1, "my password=******** here")])).collect()[0]
