@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapweave.llm._common import chunks, written
+from snapweave.llm._common import bucketed, chunks, written
 from snapweave.llm._words import _SPACE, mix, words
 
 ORDER = 5
@@ -274,7 +274,8 @@ def judge(df: DataFrame, carry: list[str], text_col: str = "text", lang_col: str
     fields += [T.StructField("lang", T.StringType())] + [T.StructField(s, T.LongType()) for s in STATS]
     fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("nll", T.DoubleType())]
     rows = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(carry)], df[text_col].alias("text"), df[lang_col].cast("string").alias("lang_"))
-    packed = written(rows.mapInArrow(_packed, "block long, size long, rows binary"), "packed")  # numbers of blocks stay as they are from here on
+    # numbers of blocks stay as they are from here on; texts are not shuffled, only probabilities are, to the buckets of their blocks
+    packed = bucketed(rows.mapInArrow(_packed, "block long, size long, rows binary"), "packed", "block")
     grams = written(packed.mapInArrow(functools.partial(_count, len(carry)), "block long, lang string, g long, c long"), "grams")
     logs = written(log_probabilities(written(grams.groupBy("lang", "g").agg(F.sum("c").alias("c")), "counts")), "logs")
     values = grams.select("block", "lang", "g").join(logs, ["lang", "g"]).select("block", "lang", "g", "logp")
