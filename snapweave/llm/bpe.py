@@ -8,9 +8,9 @@ no pair can be merged. Words of up to 64 bytes are merged many at a time, with
 one tree per row of a numpy matrix; longer ones have a tree of their own.
 
 A text is cut at single spaces between two non-space characters, where the
-pre-tokenizer always cuts as well. What a word becomes is kept in a dictionary
-of at most ``MEMO`` entries per Python worker, so memory doesn't grow with the
-vocabulary.
+pre-tokenizer always cuts as well. What a word of up to ``LONG`` characters becomes is
+kept in a dictionary of at most ``MEMO`` entries per Python worker, so memory doesn't
+grow with the vocabulary; longer ones are forgotten after the texts they stand in.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from snapweave.llm._common import chunks
 
-MEMO = 300_000
+MEMO, LONG = 300_000, 48
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PRE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _RARE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -202,13 +202,17 @@ class Memo:
     def __init__(self, bpe: Bpe, keep_ids: bool) -> None:
         self.bpe, self.keep = bpe, keep_ids
         self.known: dict[str, tuple] = {}
+        self.passing: list[str] = []
 
     def learn(self, pieces: Iterable[str]) -> None:
+        for p in self.passing:
+            self.known.pop(p, None)
         new = set(pieces).difference(self.known)
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
             new = set(pieces)
         new = list(new)
+        self.passing = [p for p in new if len(p) > LONG]
         for piece, ids in zip(new, self.bpe.pieces(new)):
             said = self.bpe.decode(ids)
             self.known[piece] = (",".join(map(str, ids)), len(ids), piece if said == piece else said, ids if self.keep else None)
