@@ -27,13 +27,30 @@ from pyspark.sql import functions as F
 
 from snapweave.llm._common import chunks, written
 
-MEMO = 500_000
+#: Words that a task keeps the ids of, and their characters at most.
+MEMO, LONG = 500_000, 48
 #: Rows per block when ranks are counted: a block's rows are ranked in one task.
 BLOCK_ROWS = 50_000
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_TAIL = ".,!?;:"
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
+# What a tokenizer must do with white space, case and words for the short cuts below to hold.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    "post_processor": None,
+}
+
+
 @functools.cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,6 +59,10 @@ def _tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    spec = json.loads(t.to_str())
+    spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+    if any(spec[k] != v for k, v in _KNOWN.items()):
+        raise ValueError(f"{path}: only tokenizers that compose, lower and cut texts at white space as this module does are supported")
     return t
 
 
@@ -95,7 +116,7 @@ def _learn(path: str, known: dict[str, bytes], new: set[str]) -> None:
     """Adds ``new`` words to ``known``. Punctuation behind a letter has ids of its own, so such a word's ids are those of its two parts."""
     cut = []
     for w in new:
-        core = w.rstrip(".,!?;:")
+        core = w.rstrip(_TAIL)
         if core and len(core) < len(w) and _letter(core[-1]):
             cut.append((w, core, w[len(core) :]))
     whole, cores, tails = zip(*cut) if cut else ((), (), ())
@@ -114,6 +135,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, batches: Iter
         if len(known) + len(new) > MEMO:  # what is in use stays
             known = {w: known[w] for w in here.difference(new)}
         _learn(path, known, new)
+        long = [w for w in new if len(w) > LONG]
         rows = []
         for key, ws in zip(keys, words):
             ids = b"".join(map(known.__getitem__, ws)) + last
@@ -122,6 +144,9 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool, batches: Iter
                 part = ids[4 * start : 4 * (start + capacity)]
                 row = (key, start, len(part) // 4, zlib.crc32(part), n)
                 rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
+        for w in long:
+            known.pop(w, None)
+            known.pop(w.rstrip(_TAIL), None)
         cols = list(zip(*rows))
         arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[5:]]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
@@ -218,7 +243,7 @@ def pack(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, grain:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     pieces = rows.mapInArrow(functools.partial(_pieces, path, end_id, capacity, with_ids), schema)
-    pieces = pieces.withColumns({"size": F.ceil(F.col("length") / grain).cast("int"), "part": F.spark_partition_id()})
+    pieces = pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
     pieces = written(pieces, "pieces")
 
     # rank inside a size: pieces of one size are dealt to blocks, counted per block, and ranked per block
