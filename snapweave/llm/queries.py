@@ -23,7 +23,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, t, r, "\\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))], said.schema)
-    return chat.digests(chat.reconstruct(chat.message_events(said.unionByName(more))))
+    return chat.digests(chat.reconstruct(chat.message_events(said.unionByName(more)), thread_col="thread"), dealt=True)
 
 
 def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
