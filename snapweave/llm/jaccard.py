@@ -22,6 +22,7 @@ count as one. Pairs are looked for where the rarest shingles of two sets meet:
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,10 +37,10 @@ from snapweave.llm.graph import components
 FRAGMENTS = 4
 #: Percent of a set by which the first prefix is longer than one shared shingle needs; so many more must be shared.
 EXTRA = 20
-#: Of a set's key, what the first filter carries. Sets that agree in it are counted together, and not against each other.
-KEY_BITS = (1 << 40) - 1
-#: Buckets of shingles in the first filter: so many, or as many as hold about ``BUCKET_ROWS`` prefix shingles each.
-BUCKETS, BUCKET_ROWS = 32, 2_000_000
+#: Stands for a null id; only a set all of whose rows have none is found by it.
+_NO_ID = (1 << 63) - 1
+#: Shingles in a bucket, about, where buckets of shingles are counted in one task each.
+BUCKET_ROWS = 500_000
 
 
 def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,16 +54,16 @@ def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _sizes(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in chunks(batches, 1, 1 << 20):
+    for ids, texts, *marks in chunks(batches, 1, 1 << 20):
         _, _, n, keys = _sets(texts, k)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys)], names=["doc_id", "n", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys), *[pa.array(m, pa.string()) for m in marks]], names=["doc_id", "n", "key", "mark"][: 3 + len(marks)])
 
 
 def _prefixes(k: int, percent: int, buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The prefixes of a megabyte of texts, a row per bucket of shingles, as bytes.
 
-    ``shingle, low, high``: 32 bits of each shingle (the bucket has told others apart) that one
-    set of these has, and 40 bits of that set's key. ``told``: shingles that several of these
+    ``shingle, owner``: 32 bits of each shingle (the bucket has told others apart; shingles that
+    agree in them only make a set wait for the next filter) that one set of these has, and that set's key. ``told``: shingles that several of these
     sets share, once each. ``keys, local``, in one row: the sets themselves, and how many of
     their shingles were told.
     """
@@ -77,37 +78,34 @@ def _prefixes(k: int, percent: int, buckets: int, batches: Iterable[pa.RecordBat
         _, at, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         alone = counts[which] == 1
         local = np.bincount(docs[~alone], minlength=len(texts))
-        names = keys & KEY_BITS
-        plain, whose, told = hashes[alone].view(np.uint64), names[docs[alone]], hashes[at[counts > 1]].view(np.uint64)
+        plain, whose, told = hashes[alone].view(np.uint64), keys[docs[alone]], hashes[at[counts > 1]].view(np.uint64)
         parts = []
         for values in (plain, told):
             place = values % np.uint64(buckets)
             order = np.argsort(place, kind="stable")
             parts.append((order, np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))))
         (order, cuts), (order_told, cuts_told) = parts
-        short, whose = (plain[order] >> np.uint64(32)).astype("<u4"), whose[order]
-        low, high = whose.astype("<u4"), (whose >> 32).astype(np.uint8)
+        short, whose = (plain[order] >> np.uint64(32)).astype("<u4"), whose[order].astype("<i8")
         short_told = (told[order_told] >> np.uint64(32)).astype("<u4")
         rows = []
         for i in range(buckets):
             u, v = slice(cuts[i], cuts[i + 1]), slice(cuts_told[i], cuts_told[i + 1])
             if u.start < u.stop or v.start < v.stop:
-                rows.append((i, short[u].tobytes(), low[u].tobytes(), high[u].tobytes(), short_told[v].tobytes(), b"", b""))
+                rows.append((i, short[u].tobytes(), whose[u].tobytes(), short_told[v].tobytes(), b"", b""))
         if lead.any():
-            rows.append((int(names[lead][0] % buckets), b"", b"", b"", b"", names[lead].astype("<i8").tobytes(), local[lead].astype("<i8").tobytes()))
-        cols = list(zip(*rows)) or [()] * 7
-        types = [pa.int32()] + [pa.binary()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["bucket", "shingle", "low", "high", "told", "keys", "local"])
+            rows.append((int(keys[lead][0] % buckets), b"", b"", b"", keys[lead].astype("<i8").tobytes(), local[lead].astype("<i8").tobytes()))
+        cols = list(zip(*rows)) or [()] * 6
+        types = [pa.int32()] + [pa.binary()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["bucket", "shingle", "owner", "told", "keys", "local"])
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """One bucket: how many shingles each set shares with other megabytes' sets, or shared with its own; ``parts`` is 1 where the latter are given."""
+    """One bucket: how many shingles each set shares with other megabytes' sets, or shared with its own."""
 
     def column(name: str, kind: str) -> np.ndarray:
         return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
 
-    shingle, told = column("shingle", "<u4"), column("told", "<u4")
-    key = column("low", "<u4").astype(np.int64) | column("high", "u1").astype(np.int64) << 32
+    shingle, told, key = column("shingle", "<u4"), column("told", "<u4"), column("owner", "<i8")
     order = np.argsort(shingle, kind="stable")
     shingle, key = shingle[order], key[order]
     hit = np.zeros(0, bool)
@@ -118,8 +116,7 @@ def _meet(group: pa.Table) -> pa.Table:
         hit = shared[np.cumsum(new) - 1]
     names, n = np.unique(key[hit], return_counts=True)
     keys, local = column("keys", "<i8"), column("local", "<i8")
-    parts = np.repeat(np.array([0, 1], np.int64), [len(names), len(keys)])
-    return pa.table({"name": np.concatenate([names, keys]), "shared": np.concatenate([n, local]), "parts": parts})
+    return pa.table({"key": np.concatenate([names, keys]), "shared": np.concatenate([n, local])})
 
 
 def _segments(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,29 +198,38 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     """``doc_id, n_shingles, component_id`` for every row; documents in one component are joined by links of at least ``percent`` % Jaccard similarity.
 
     Null or empty texts and texts without words have no shingles and no links: their component
-    is themselves. A row with a null id is linked only through an equal set that has an id.
-    Repeated rows give repeated results. Other columns are ignored.
+    is themselves. A row with a null id is linked like others, but names no component: one of
+    such rows only has a null name. Repeated rows give repeated results. Other columns are ignored.
     """
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    sets = written(docs.mapInArrow(functools.partial(_sizes, k), "doc_id long, n long, key long"), "sets")
+    rows = groups(df, id_col, text_col, k, percent)
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = rows.join(least, "component", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
-    distinct = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, mark_col: str | None = None) -> DataFrame:
+    """``doc_id, n, component`` (and ``mark``, the string in ``mark_col``) for every row: the number of shingles and a name of the component, null without shingles."""
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), *([df[mark_col].alias("mark")] if mark_col else []))
+    sets = written(docs.mapInArrow(functools.partial(_sizes, k), "doc_id long, n long, key long" + ", mark string" * bool(mark_col)), "sets")
+    docs = docs.select("doc_id", "text")
+
+    # a set is told from another by its key, and found again by one of its rows' ids
+    distinct = sets.where("n > 0").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least"), F.first("n").alias("n"))
     total = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = max(BUCKETS, -(-total * (100 - percent + EXTRA) // 100 // BUCKET_ROWS))
+    buckets = max(1, -(-total * (100 - percent + EXTRA) // 100 // BUCKET_ROWS))
     # a shingle that many sets share is told once per megabyte
-    rows = docs.mapInArrow(functools.partial(_prefixes, k, percent, buckets), "bucket int, shingle binary, low binary, high binary, told binary, keys binary, local binary")
-    counts = rows.groupBy("bucket").applyInArrow(_meet, "name long, shared long, parts long").groupBy("name").agg(F.sum("shared").alias("shared"), F.sum("parts").alias("parts"))
+    rows = docs.mapInArrow(functools.partial(_prefixes, k, percent, buckets), "bucket int, shingle binary, owner binary, told binary, keys binary, local binary")
+    counts = rows.groupBy("bucket").applyInArrow(_meet, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
     # each of the megabytes that hold a set has counted all its shared shingles
     need = F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(F.col("n") * percent / 100) / 100))  # the smallest possible partner's k
-    named = distinct.withColumn("name", F.col("key").bitwiseAND(F.lit(KEY_BITS)))
-    near = written(named.join(counts, "name").where(F.col("shared") >= need).select("key", "least"), "near")
+    near = written(distinct.join(counts, "key").where(F.col("shared") >= need).select("key", "least"), "near")
 
-    kept = semi_join(docs, near.select(F.col("least").alias("doc_id")), "doc_id")
+    kept = semi_join(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))), near.select(F.col("least").alias("doc_id")), "doc_id")
     found = kept.mapInArrow(functools.partial(_segments, k), "key long, n long, segments array<array<long>>")
     found = found.join(near.select("key"), "key", "left_semi")  # one id may stand on several texts, and rows may repeat
     found = written(found.groupBy("key").agg(F.first("n").alias("n"), F.first("segments").alias("segments")), "segments")
 
-    buckets = max(BUCKETS, -(-(found.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
+    buckets = max(1, -(-(found.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
     dealt = found.mapInArrow(functools.partial(_deal, buckets), "bucket int, shingles binary, keys binary, counts binary")
     coded = dealt.groupBy("bucket").applyInArrow(_grade, "key long, codes binary")
     lists = coded.groupBy("key").agg(F.collect_list("codes").alias("codes"))  # at most a text long
@@ -252,13 +258,15 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     main = F.max_by("comp", F.struct("weight", "key")).alias("main")
     lists = named.groupBy("shingle").agg(main, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle", "main")
     rest = named.join(lists, "shingle")
-    outside = rest.where("comp <> main").select("shingle", F.struct("key", "n", "place", "comp").alias("o"))
-    second = pairs(rest.join(outside, "shingle").where((F.col("comp") != F.col("o.comp")) & can("o")))
+    # sets more than a quarter apart in size are not similar: they never meet in one band of sizes, its neighbours included
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
+    outside = rest.where("comp <> main").select("shingle", F.struct("key", "n", "place", "comp").alias("o"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    met = rest.withColumn("band", band).join(outside, ["shingle", "band"])
+    second = pairs(met.where((F.col("comp") != F.col("o.comp")) & can("o")))
     more = written(_links(second, found, percent), "links")
     labels = components(links.union(more)) if not more.isEmpty() else labels
 
-    names = distinct.select("key", "least").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    names = written(names, "names")
-    least = names.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = names.join(least, "comp").select("key", "component_id")
-    return sets.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = written(labels.select(F.col("id").alias("key"), "comp"), "components")
+    named = sets.join(labels, "key", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("comp", "key")).alias("component")
+    return written(named.select("doc_id", "n", component, *["mark"] * bool(mark_col)), "groups")
