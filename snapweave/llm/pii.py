@@ -166,7 +166,7 @@ def _permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
 
 
 #: Draw from which a form counts as nearly full and surrogates get longer, so that redrawing ends.
-WIDEN = 16
+WIDEN = 8
 #: Draws after which something is wrong: forms have grown by dozens of characters then.
 ROUNDS = 64
 _PUNCTUATION = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
