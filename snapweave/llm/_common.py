@@ -68,18 +68,30 @@ def text_bytes(col: str | Column) -> Column:
     return F.encode(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), "UTF-8")
 
 
-def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is not in ``keys``, by a bitmap of hashed keys: ``2**bits`` bits whatever the data, so wide rows that a join would drop need no shuffle."""
+def _bitmap(rows: DataFrame, keys: DataFrame, key: str, bits: int, how: str) -> tuple[DataFrame, Column]:
+    """``rows`` joined with a bitmap of the hashed ``keys``, ``2**bits`` bits whatever the data, and whether a row's ``key`` is in it."""
     place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    maps = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-    at = rows.withColumn("at_", place)
-    met = at.join(F.broadcast(maps), F.bitmap_bucket_number("at_") == F.col("bucket"))  # at most 2**bits bits
+    maps = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap_"))
+    met = rows.withColumn("at_", place).join(F.broadcast(maps), F.bitmap_bucket_number("at_") == F.col("bucket_"), how)  # at most 2**bits bits
     position = F.bitmap_bit_position("at_")
-    byte = F.conv(F.hex(F.substring("bitmap", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    byte = F.conv(F.hex(F.substring("bitmap_", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met, F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def bitmap_filter(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``keys``, so that wide rows that a join would drop need no shuffle."""
+    met, hit = _bitmap(rows, keys, key, bits, "inner")
     return met.where(hit).select(*rows.columns)
 
 
+def anti_join(rows: DataFrame, keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """``rows`` whose ``key`` is null or not in ``keys``: those that a bitmap tells apart pass as they are, only the others are shuffled to ``keys``."""
+    met, hit = _bitmap(rows, keys, key, bits, "left")
+    hit = F.coalesce(hit, F.lit(False))
+    doubt = met.where(hit).select(*rows.columns).join(keys.select(F.col(key).alias("key_of_gone_")), F.col(key) == F.col("key_of_gone_"), "left_anti")
+    return met.where(~hit).select(*rows.columns).unionByName(doubt)
+
+
 def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` is in ``keys``, filtered by a bitmap before they are shuffled."""
     # an inner join, as a semi join would be pushed below the bitmap

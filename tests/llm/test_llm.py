@@ -160,8 +160,9 @@ def test_quality_of_many_ngrams(spark):
 
 def test_chat(spark):
     said = spark.createDataFrame([(1, 0, "user", "a\\b # <x>: </turn>\n### assistant: hi"), (1, 1, "assistant", None), (1, 1, "assistant", "tie"), (2, 0, None, ""), (None, 0, "assistant", "é" * 3), (1, None, "system", "first")], "conv_id long, turn long, role string, text string")
-    formatted = chat.reconstruct(chat.message_events(said))
-    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    formatted = chat.reconstruct(chat.message_events(said), thread_col="thread")
+    got = {r.conv_id: r for r in chat.digests(formatted, dealt=True).collect()}
+    assert got == {r.conv_id: r for r in chat.digests(formatted.repartition(3, F.rand(5))).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1].n_turns == 4 and got[1].turns_sha256 == sha("system\nfirst\nuser\na\\b # <x>: </turn>\n### assistant: hi\nassistant\n\nassistant\ntie\n")
     assert (got[1].loss_chars, got[1].loss_sha256) == (3, sha("tie")) and got[None].loss_chars == 3 and got[2].n_turns == 1
@@ -169,6 +170,12 @@ def test_chat(spark):
     rows = chat.reconstruct(log).orderBy("message").collect()
     assert [chat.parse(r.formatted)[0][:2] for r in rows] == [("user", "Q?"), ("assistant", "right one")]
     assert chat.digests(chat.reconstruct(log.limit(0))).count() == 0
+    tied = log.withColumn("seq", F.lit(0))  # a delta never comes before what opens its message
+    assert chat.parse(chat.reconstruct(tied.where("kind in ('message', 'delta') and (message = 0 or text = 'wro')").unionByName(spark.createDataFrame([(5, 0, 0, "delta", None, "!")], log.schema))).orderBy("message").first().formatted)[0][:2] == ("user", "q!")
+    many = spark.createDataFrame([(8, i, i, "message", "user", f"turn {i}") for i in range(3000)] + [(8, 7, 9000, "delta", None, " more")] * 2, log.schema)
+    (one,) = chat.digests(chat.reconstruct(many).repartition(5)).collect()
+    said = [f"turn {i}" + " more more" * (i == 7) for i in range(3000)]
+    assert one.n_turns == 3000 and one.turns_sha256 == sha("".join(f"user\n{t}\n" for t in said))
     rng = random.Random(4)
     for _ in range(300):
         role, text = ("".join(rng.choice("\\#<:> /turn\n") for _ in range(rng.randrange(12))) for _ in range(2))
@@ -394,6 +401,30 @@ def test_jaccard(spark, docs):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(30)) for c in "tu")
+    rows = [(None, t), (None, t), (7, t + " more"), (None, u), (None, u.upper()), (3, t), (3, u + " end"), (4, None), (None, None), (None, "")]
+    got = collections.Counter(map(tuple, jaccard.join(frame(spark, rows)).collect()))
+    want = [(None, 26, 3), (None, 26, 3), (7, 27, 3), (None, 26, 3), (None, 26, 3), (3, 26, 3), (3, 27, 3), (4, 0, 4), (None, 0, None), (None, 0, None)]
+    assert got == collections.Counter(want)
+    alone = jaccard.join(frame(spark, [(None, t), (None, t + " x")])).collect()
+    assert [r.component_id for r in alone] == [None, None]
+
+
+def test_jaccard_pairs_of_a_common_passage(spark, monkeypatch):
+    """A passage that all texts share, and texts of other sizes, make no more pairs than rows."""
+    seen = []
+    links = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda pairs, found, percent: seen.append(pairs.count()) or links(pairs, found, percent))
+    rng = random.Random(10)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, " ".join([common, *(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 90)))])) for i in range(400)]
+    rows += [(500 + i, common + f" tail{i}" * (1 + i % 4)) for i in range(200)]
+    got = jaccard.join(frame(spark, rows)).collect()
+    assert {r.component_id for r in got if r.doc_id >= 500} == {500} and all(r.component_id == r.doc_id for r in got if r.doc_id < 500)
+    assert sum(seen) < 4 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(0, 60)] + [(1000, j) for j in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
@@ -454,19 +485,102 @@ def test_filters(spark):
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
-    rows = [(i, t + f" mail u{i}@corp.org") for i, t in enumerate(texts(40, 3))] + [(90, texts(40, 3)[0] + " mail u0@corp.org"), (91, "short"), (92, None)]
+    rows = [(i, t + f" mail u{i}@corp.org") for i, t in enumerate(texts(40, 3))] + [(90, texts(40, 3)[0] + " mail u0@corp.org"), (91, "short"), (92, None), (None, texts(41, 8)[40])]
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns = docs.columns
-    ids = None
+    before = docs
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, str(tmp_path))
+        docs = stage(spark, before, str(tmp_path))
         if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == columns, name
+            assert docs.columns == columns and docs.dtypes == before.dtypes, name
             docs = docs.cache()
-            now = {r.doc_id for r in docs.collect()}
-            assert ids is None or now <= ids
-            ids = now
-    assert 90 not in ids and 91 not in ids and 92 not in ids and len(ids) > 20
-    assert {r.doc_id for r in docs.collect()} == ids
+            check = {"quality_rules": kept_by_rules, "near_duplicates": kept_of_groups, "repeated_passages": kept_of_passages, "private_data": kept_of_people}[name]
+            check(before, docs)
+            before = docs
+    ids = collections.Counter(r.doc_id for r in before.collect())
+    assert 90 not in ids and 91 not in ids and 92 not in ids and None in ids and len(ids) > 20
+    assert {r.doc_id for r in docs.collect()} == set(ids)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def kept_by_rules(before, after):
+    """Every text that fails the plain rules goes; the perplexity bands are tested by themselves."""
+    kept = quality.judge(before, ["doc_id", "text"]).where("kept").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter((r.doc_id, r.text) for r in after.collect())
+    for r in after.collect():
+        n, _, _, _, again = brute_stats(r.text)
+        assert n >= 20 and 100 * again <= 30 * n
+
+
+def brute_groups(rows):
+    """Indexes of the rows in one group, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = group[a], group[b]
+                group = [y if g == x else g for g in group]
+    return group
+
+
+def kept_of_groups(before, after):
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    place = lambda r: (r[0] is None, r[0] or 0, digest(r[1]))
+    best = {}
+    for r, g in zip(rows, brute_groups(rows)):
+        best[g] = min(best.get(g, r), r, key=place)
+    assert collections.Counter(best.values()) == collections.Counter((r.doc_id, r.text) for r in after.collect())
+
+
+def kept_of_passages(before, after):
+    rows = sorted(((r.doc_id, r.text) for r in before.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert len({r[0] for r in rows}) == len(rows)
+    seen, got = set(), {r.doc_id: r for r in after.collect()}
+    for i, text in rows:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        want = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+        assert got[i].text == want and got[i].n_chars == len(want)
+
+
+def kept_of_people(before, after):
+    new: dict[tuple, str] = {}
+    got = {r.doc_id: r for r in after.collect()}
+    assert len(got) == before.count()
+    for r in before.collect():
+        text, at = got[r.doc_id].text, 0
+        assert got[r.doc_id].n_chars == len(text)
+        for start, end, kind, value in pii.find(r.text):
+            text_before = r.text[at:start]
+            assert text.startswith(text_before)
+            text, at = text[len(text_before) :], end
+            stop = text.find(r.text[end : end + 5]) if end < len(r.text) else len(text)
+            assert new.setdefault((kind, value), text[:stop]) == text[:stop] != value
+            text = text[stop:]
+        assert text == r.text[at:]
+    assert len(set(new.values())) == len(new)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    t, u, v = (" ".join(f"{c}{i}" for i in range(30)) for c in "tuv")
+    rows = [(1, t), (2, t), (2, u), (3, u + " end"), (4, v), (4, v), (4, v), (None, t), (None, None), (5, ""), (5, None), (6, "x"), (None, "x y"), (None, "x y"), (7, "X y")]
+    before = frame(spark, rows).withColumnRenamed("d", "m").withColumnRenamed("key", "component")
+    after = corpus_pipeline.near_duplicates(spark, before, "")
+    assert after.columns == before.columns
+    assert collections.Counter((r.doc_id, r.text) for r in after.collect()) == collections.Counter([(1, t), (2, u), (4, v), (None, None), (5, ""), (5, None), (6, "x"), (7, "X y")])
+    kept_of_groups(before.where("text <> ''"), after.where("text <> ''"))
+    assert corpus_pipeline.near_duplicates(spark, before.limit(0), "").count() == 0
+    assert corpus_pipeline.quality_rules(spark, before, "").count() >= 0
