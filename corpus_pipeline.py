@@ -7,24 +7,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.llm import jaccard, packing, pii, quality, substrings
-from snapweave.llm._common import table, written
+from snapweave.llm._common import anti_join, bitmap_filter, table, written
+
+_MARK = "mark_of_text_"
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """Adds ``mark_of_text_``, a document's id and digest of text: ids may be null, or repeat with another text."""
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return docs.withColumn(_MARK, F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), digest))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the perplexity bands keep."""
-    mark = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))  # ids may repeat with another text
-    marked = docs.withColumn("mark_", mark)
-    judged = quality.judge(marked, ["doc_id", "mark_"])
-    gone = written(judged.where("not kept").select(F.col("doc_id").alias("id_"), F.col("mark_").alias("m_")).distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("m_"))
-    return marked.join(gone, same, "left_anti").select(*docs.columns)
+    marked = _marked(docs)
+    gone = written(quality.judge(marked, [_MARK]).where("not kept").select(_MARK).distinct(), "gone")
+    return anti_join(marked, gone, _MARK).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of 80 % similarity, that with the smallest id."""
-    found = jaccard.join(docs)
-    gone = written(found.where("component_id <> doc_id").select("doc_id"), "gone")  # its size is known before the join is planned
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of the rows joined by links of 80 % similarity, one: that of the smallest id (null last), and of the smallest digest where texts share the id."""
+    marked = _marked(docs)
+    found = jaccard.groups(marked, mark_col=_MARK).where("component is not null").select("component", "doc_id", F.col("mark").alias(_MARK))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", _MARK)
+    first = found.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    members = written(found.join(first, "component").select(_MARK, (place == F.col("first")).alias("stays")), "members")
+    rest = anti_join(marked, written(members.where("not stays").select(_MARK).distinct(), "gone"), _MARK)
+    # rows that are equal in id and text are one document: one of them stays
+    twice = written(members.where("stays").groupBy(_MARK).agg(F.count("*").alias("rows")).where("rows > 1").select(_MARK), "twice")
+    if not twice.isEmpty():
+        once = bitmap_filter(rest, twice, _MARK).join(twice, _MARK, "left_semi").dropDuplicates([_MARK])
+        rest = anti_join(rest, twice, _MARK).unionByName(once)
+    return rest.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
