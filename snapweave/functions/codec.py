@@ -38,10 +38,10 @@ def checksum_ok(data: Column, text: Column) -> Column:
 
 
 def uri_encode(text: Column) -> Column:
-    """Bytes 0x2B to 0x7E stay, but for ``@``; others become ``%xx``."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
-    plain = lambda h: h.between("2B", "7E") & (h != "40")
-    return F.array_join(F.transform(pairs, lambda h: F.when(plain(h), F.decode(F.unhex(h), "UTF-8")).otherwise(F.concat(F.lit("%"), F.lower(h)))), "")
+    """Bytes 0x2B to 0x7E stay, but for ``@``; others become ``%xx``. Runs of either sort are taken whole."""
+    runs = F.regexp_extract_all(text, F.lit(r"[+-?A-~]+|[^+-?A-~]+"), F.lit(0))
+    escaped = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-8"))), "(..)", "%$1")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"\A[+-?A-~]"), x).otherwise(escaped(x))), "")
 
 
 @pandas_udf(T.BinaryType())

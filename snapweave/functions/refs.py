@@ -14,19 +14,21 @@ def parse_ref(text: Column) -> Column:
     ``[n]`` and the older ``[=n]`` say that the object has exactly n bytes, ``[a+n]`` takes n
     bytes from a on; what isn't a reference is of kind null.
     """
-    part = lambda i: F.regexp_extract(text, _OBJECT, i)
+    # one pass of the pattern: its groups, parted by a character that no reference has
+    fields = F.split(F.regexp_replace(text, _OBJECT, "\x01" + "\x01".join(f"${i}" for i in range(1, 10))), "\x01")
+    part = lambda i: F.get(fields, F.lit(i))
     some = lambda i: F.nullif(part(i), F.lit(""))
-    ok = text.rlike(_OBJECT)
+    ok = F.coalesce((F.size(fields) == 10) & (part(0) == "") & ~text.contains("\x01"), F.lit(False))
     zero = part(2) == "zero"
-    whole = some(7).cast("long")
+    whole = some(7).try_cast("long")
     return F.struct(
         F.when(~ok | text.isNull(), "null").when(zero, "zero").otherwise("normal").alias("kind"),
         (ok & (part(1) == "@")).alias("indirect"),
         F.when(ok & ~zero, part(3)).alias("segment"),
         F.when(ok & ~zero, part(4)).alias("object"),
         F.when(ok, some(5)).alias("checksum"),
-        F.when(ok, F.coalesce(some(8).cast("long"), F.when(whole.isNotNull(), F.lit(0).cast("long")))).alias("start"),
-        F.when(ok, F.coalesce(some(9).cast("long"), whole)).alias("length"),
+        F.when(ok, F.coalesce(some(8).try_cast("long"), F.when(whole.isNotNull(), F.lit(0).cast("long")))).alias("start"),
+        F.when(ok, F.coalesce(some(9).try_cast("long"), whole)).alias("length"),
         (ok & whole.isNotNull()).alias("exact"),
     )
 

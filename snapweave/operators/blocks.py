@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapweave.functions.codec import checksum
 
@@ -32,22 +37,21 @@ def dedup_report(blocks: DataFrame, key: str = "checksum", size: str = "block_si
 def first_owner(blocks: DataFrame, order: tuple[str, ...], key: str = "checksum", size: str = "block_size") -> DataFrame:
     """Marks the first row of each distinct block (in ``order``) as ``is_new``.
 
-    The least position is combined before the shuffle and joined back, so a block that stands
-    everywhere doesn't meet in one task.
+    The least position is combined before the shuffle, and only of blocks that stand more than
+    once joined back. The rows of one block still meet where that join is by shuffle; its other side
+    has one row a block, so AQE can split them.
     """
     at = F.struct(*order)
-    first = blocks.groupBy(key, size).agg(F.min(at).alias("first"))
-    return blocks.join(first, [key, size]).withColumn("is_new", at == F.col("first")).drop("first")
-
-
-def live_objects(index: DataFrame) -> DataFrame:
-    """Of each content in a block index, the object of the least block id that isn't expired."""
-    return index.where(F.col("expired").isNull()).groupBy("checksum", "size").agg(F.min_by(F.struct("segmentid", "object", "blockid"), "blockid").alias("live"))
+    first = blocks.groupBy(key, size).agg(F.min(at).alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return blocks.join(first, [key, size], "left").withColumn("is_new", F.coalesce(at == F.col("first"), F.lit(True))).drop("first")
 
 
-def old_objects(index: DataFrame) -> DataFrame:
-    """Of each content, the expired object of the least block id, with its age and group."""
-    return index.where(F.col("expired").isNotNull()).groupBy("checksum", "size").agg(F.min_by(F.struct("segmentid", "object", "timestamp", "expired"), "blockid").alias("old"))
+def known_objects(index: DataFrame) -> DataFrame:
+    """Of each content in a block index: the object of the least block id that isn't expired (``live``), and the expired one of the least block id with its age and group (``old``)."""
+    expired = F.col("expired").isNotNull()
+    live = F.min_by(F.struct("segmentid", "object", "blockid"), F.when(~expired, F.col("blockid"))).alias("live")
+    old = F.min_by(F.struct("segmentid", "object", "timestamp", "expired"), F.when(expired, F.col("blockid"))).alias("old")
+    return index.groupBy("checksum", "size").agg(live, old)
 
 
 def decide(blocks: DataFrame, index: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -58,8 +62,7 @@ def decide(blocks: DataFrame, index: DataFrame, order: tuple[str, ...]) -> DataF
     new and the others repeat it.
     """
     marked = first_owner(blocks, order)
-    known = marked.join(live_objects(index).withColumnRenamed("size", "block_size"), ["checksum", "block_size"], "left")
-    known = known.join(old_objects(index).withColumnRenamed("size", "block_size"), ["checksum", "block_size"], "left")
+    known = marked.join(known_objects(index).withColumnRenamed("size", "block_size"), ["checksum", "block_size"], "left")
     decision = F.when(F.col("zero"), "zero").when(F.col("live").isNotNull(), "reuse").when(~F.col("is_new"), "repeat").when(F.col("old").isNotNull(), "rewrite").otherwise("new")
     group = F.when(F.col("old.expired") > 0, F.concat(F.lit("compacted-"), F.col("old.expired"))).otherwise(F.lit("data"))
     return known.withColumn("decision", decision).withColumn("group", F.when(F.col("decision").isin("rewrite", "new"), group))
@@ -83,28 +86,36 @@ def object_available(refs: DataFrame, index: DataFrame) -> DataFrame:
     return refs.join(live, ["segmentid", "object"], "left").withColumn("available", (F.col("kind") != "normal") | F.col("live").isNotNull()).drop("live")
 
 
+def _packed(target: int, groups: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, slot and order; the last column is the size. Adds the numbers of the segment and in it."""
+    now, seg, no, filled = None, 0, 0, 0
+    for b in batches:
+        segs, nos = [], []
+        for *key, size in zip(*[b.column(i).to_pylist() for i in [*range(groups), b.num_columns - 1]]):
+            if key != now:
+                now, seg, no, filled = key, 0, 0, 0
+            elif filled >= target:
+                seg, no, filled = seg + 1, 0, 0
+            segs.append(seg)
+            nos.append(no)
+            filled, no = filled + (size or 0), no + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(segs, pa.int64()), pa.array(nos, pa.int64())], names=[*b.schema.names, "segment_no", "object_no"])
+
+
 def pack_segments(objects: DataFrame, target: int = 4 << 20, group: str = "group", order: tuple[str, ...] = ("object_order",), size: str = "size", slots: int = 64) -> DataFrame:
     """Deals objects to segments per group: ``slot, segment_no, object_no``.
 
     A segment takes objects in order until it holds ``target`` bytes or more. Groups are
     folded in ``slots`` independent streams (by hash of the order, kept in order inside), as
     that many writers would fill segments side by side; with one slot the result is the
-    sequential one. A stream's fold holds sizes only.
+    sequential one. A stream is sorted and passes by; none is held.
     """
     slot = F.pmod(F.xxhash64(*order), F.lit(slots)).cast("int") if slots > 1 else F.lit(0)
-    dealt = objects.withColumn("slot", slot)
-    lists = dealt.groupBy(group, "slot").agg(F.sort_array(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("bytes")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("filled"), F.lit(0).cast("long").alias("no"), F.array().cast("array<struct<seg:bigint,no:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = s["filled"] >= target
-        seg = F.when(full, s["seg"] + 1).otherwise(s["seg"])
-        no = F.when(full, F.lit(0)).otherwise(s["no"]).cast("long")
-        filled = F.when(full, x["bytes"]).otherwise(s["filled"] + x["bytes"])
-        return F.struct(seg.alias("seg"), filled.alias("filled"), (no + 1).alias("no"), F.concat(s["out"], F.array(F.struct(seg.alias("seg"), no.alias("no")))).alias("out"))
-
-    placed = lists.select(group, "slot", F.explode(F.arrays_zip("items", F.aggregate("items", start, step)["out"].alias("at"))).alias("x"))
-    return placed.select(group, "slot", *[F.col(f"x.items.{o}").alias(o) for o in order], F.col("x.items.bytes").alias(size), F.col("x.at.seg").alias("segment_no"), F.col("x.at.no").alias("object_no"))
+    keys = [F.col(group).alias("g"), slot.alias("slot"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)]]
+    rows = objects.select(*keys, F.col(size).cast("long").alias("bytes")).repartition("g", "slot").sortWithinPartitions("g", "slot", *[f"o{i}" for i in range(len(order))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("segment_no", T.LongType()), T.StructField("object_no", T.LongType())])
+    placed = rows.mapInArrow(functools.partial(_packed, target, 2), schema)
+    return placed.select(F.col("g").alias(group), "slot", *[F.col(f"o{i}").alias(o) for i, o in enumerate(order)], F.col("bytes").alias(size), "segment_no", "object_no")
 
 
 def coalesce_refs(refs: DataFrame, file_col: str, pos_col: str) -> DataFrame:
@@ -134,6 +145,11 @@ def byte_range(parts: DataFrame, file_col: str, pos_col: str, start: int, size:
     return at.where(hi > lo).select(file_col, pos_col, F.substring(F.col(content), lo.cast("int") + 1, (hi - lo).cast("int")).alias("slice"))
 
 
+def is_regular(kind: Column) -> Column:
+    """Whether a file type is that of a regular file, in its present or its older spelling."""
+    return kind.isin("f", "-")
+
+
 def volatile(changed: Column, scanned: Column, is_directory: Column, grew: Column, seconds: int = 30) -> Column:
     """Whether a file may still be changing: not a directory and touched within ``seconds`` before the scan, or of another size once read."""
     return (~is_directory & (scanned - changed < seconds)) | F.coalesce(grew, F.lit(False))

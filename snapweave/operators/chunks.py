@@ -19,7 +19,7 @@ MODULUS = 0xBFE6B8A5BF378D83
 WINDOW = 48
 MARK = 0x78
 LEAST, TARGET, MOST = 2048, 4096, 65535
-#: Blocks below this size get no signatures unless stored incrementally.
+#: Blocks below this size get no signatures unless stored incrementally (``rebuild.signed``).
 SIGNATURE_LEAST = 16384
 
 

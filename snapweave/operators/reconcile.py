@@ -45,21 +45,40 @@ def restore_order(refs: DataFrame, path: str = "path", segment: str = "segment")
     return first.repartition("first_segment").sortWithinPartitions("first_segment", path)
 
 
-def parity_groups(files: DataFrame, name: str = "name", size: int = 16) -> DataFrame:
-    """Sorted files in sets of ``size``: ``set_no, files, redundancy, least, first, last``.
+def positions(df: DataFrame, order: list[str], place: str = "place", ranges: int = 64) -> DataFrame:
+    """Adds each row's place from 0 on in the order of the columns ``order``, without a task that sees all rows.
 
-    Ranks come from counts per range of names, so no task sees all names: ranges are sorted
-    on their own and offset by what stands before them.
+    Ranges of keys are ranked on their own and offset by the numbers of rows before them. Their
+    bounds come from a sample of about 20,000 keys, chosen by hash; they decide who ranks which rows, not the
+    result. Rows with equal keys are in any order, and are one task's work.
     """
-    ranged = files.select(name).distinct().repartitionByRange(name).withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1
-    placed = ranged.withColumn("own", rank).join(F.broadcast(before), "part")  # a row per partition
-    sets = placed.groupBy(F.floor((F.col("own") + F.col("before")) / size).alias("set_no")).agg(F.count("*").alias("files"), F.min(name).alias("first"), F.max(name).alias("last"))
+    at = F.struct(*order)
+    step = max(1, df.count() // 20000)
+    sample = [r["at"] for r in df.select(at.alias("at")).where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).distinct().orderBy("at").collect()]
+    bounds = sample[:: max(1, len(sample) // ranges)][1:]
+    part = F.size(F.filter(F.array(*[F.struct(*[F.lit(b[c]).alias(c) for c in order]) for b in bounds]), lambda b: b < at)) if bounds else F.lit(0)
+    parts = df.withColumn("range_", part)
+    counts = parts.groupBy("range_").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before_", F.coalesce(F.sum("n").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row a range
+    own = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
+    return parts.withColumn(place, own).join(F.broadcast(before), "range_").withColumn(place, F.col(place) + F.col("before_")).drop("range_", "before_")
+
+
+def parity_groups(files: DataFrame, name: str = "name", size: int = 16) -> DataFrame:
+    """Sorted files in sets of ``size``: ``set_no, files, redundancy, least, first, last``."""
+    placed = positions(files.select(name).distinct(), [name])
+    sets = placed.groupBy(F.floor(F.col("place") / size).alias("set_no")).agg(F.count("*").alias("files"), F.min(name).alias("first"), F.max(name).alias("last"))
     return sets.withColumn("redundancy", (1 + F.floor(F.col("files") / 4)).cast("long")).withColumn("least", (1 + F.floor(F.col("files") / 8)).cast("long"))
 
 
+def with_ids(known: DataFrame, names: DataFrame, name: str = "segment", number: str = "segmentid") -> DataFrame:
+    """The table ``known`` (``number, name``) with ids for the names that it lacks, from the greatest id on in the order of names."""
+    new = names.select(name).where(F.col(name).isNotNull()).distinct().join(known.select(name), name, "left_anti")
+    last = known.agg(F.max(number)).first()[0] or 0
+    placed = positions(new, [name])
+    return known.select(number, name).unionByName(placed.select((F.col("place") + last + 1).cast(known.schema[number].dataType).alias(number), name))
+
+
 def stale_parity(members: DataFrame, listed: DataFrame, parity: DataFrame, set_col: str = "set_no", name: str = "name") -> DataFrame:
     """Parity sets to make anew: a member is gone, or fewer parity files are left than 1 + n // 8."""
     there = members.join(listed.select(name).distinct().withColumn("there", F.lit(1)), name, "left")
@@ -88,9 +107,12 @@ def changed(now: DataFrame, before: DataFrame, path: str = "path", fields: tuple
     return now.join(old, path, "left").withColumn("state", state).drop("old")
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows replace those of equal keys."""
-    return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows replace those of equal keys. Of rows that share their keys, the one with the greatest ``order`` counts (a column of ``rows`` only), or without it the greatest in the order of the other columns."""
+    rest = [c for c in rows.columns if c not in [*keys, order]]
+    by = F.struct(*([order] if order else []), *rest)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("row_")).select(*keys, "row_.*") if rest else rows.select(*keys).distinct()
+    return table.join(rows.select(*keys), keys, "left_anti").unionByName(last)
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

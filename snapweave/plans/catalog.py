@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.functions import codec, globs, refs
-from snapweave.operators import account, blocks, chunks, clean, reconcile, retain, verify
+from snapweave.operators import account, blocks, chunks, clean, rebuild, reconcile, retain, verify
 from snapweave.plans import views as v
+from snapweave.sources import catalog as schema
+from snapweave.sources import config, publish, segments, stanzas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,7 +138,21 @@ def age_histogram(spark, sf):
     return clean.age_histogram(rows, _ntz(NOW))
 
 
-@query()
+_BUCKETS = f"""WITH RECURSIVE e AS (SELECT event_id AS blockid, event_id % 97 AS segmentid, event_id % 1000 AS size, event_id % 3 > 0 AS gone, CAST(round(epoch(TIMESTAMP '{NOW}' - least(ts, TIMESTAMP '{NOW}')) / 86400.0) AS BIGINT) AS age FROM events),
+mean AS (SELECT avg(s) AS m FROM (SELECT sum(size) AS s FROM e GROUP BY segmentid HAVING bool_or(gone))),
+h AS (SELECT age, sum(size)::DOUBLE AS bytes, row_number() OVER (ORDER BY age DESC) AS rn FROM e WHERE gone GROUP BY age),
+t AS (SELECT m, greatest(2 * m, (SELECT sum(bytes) FROM h) / (2 * pow((SELECT sum(bytes) FROM h) / m, 0.4))) AS target FROM mean),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS filled, false AS young, CAST([] AS BIGINT[]) AS cuts
+  UNION ALL
+  SELECT h.rn, CASE WHEN filled >= target OR (h.age < 4 AND NOT young) THEN h.bytes ELSE filled + h.bytes END, young OR h.age < 4,
+    CASE WHEN filled >= target THEN list_append(cuts, h.age) WHEN h.age < 4 AND NOT young THEN list_append(cuts[:-2], h.age) ELSE cuts END
+  FROM f JOIN h ON h.rn = f.rn + 1 CROSS JOIN t),
+z AS (SELECT list_prepend(-1, list_reverse(CASE WHEN filled >= 1.5 * m OR NOT young THEN list_append(cuts, -1) ELSE cuts END)) AS cuts FROM f CROSS JOIN t ORDER BY rn DESC LIMIT 1)
+SELECT blockid, CASE WHEN gone THEN CAST(list_position(list_reverse(list_transform(cuts, lambda c: age > c)), true) AS INTEGER) END AS place, CAST(len(cuts) AS INTEGER) AS buckets FROM e CROSS JOIN z"""
+
+
+@query(f"SELECT blockid, buckets - place AS expired FROM ({_BUCKETS})")
 def age_buckets(spark, sf):
     """Expired blocks dealt into groups by age; cutoffs come from the histogram."""
     rows = v.table(spark, sf, "events").select(F.col("event_id").alias("blockid"), (F.col("event_id") % 97).alias("segmentid"), (F.col("event_id") % 1000).alias("size"), F.col("ts").alias("timestamp"), F.when(F.col("event_id") % 3 > 0, 0).alias("expired"))
@@ -287,16 +303,17 @@ def search_path(spark, sf):
     return reconcile.first_hit(v.table(spark, sf, "customer").select(F.col("c_custkey").alias("name")), orders)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+@query("WITH r AS (SELECT l_orderkey, arg_max(l_linestatus, (l_linenumber, l_linestatus)) AS st FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1) SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, coalesce(st, o_orderstatus) AS o_orderstatus FROM orders FULL JOIN r ON o_orderkey = l_orderkey")
 def catalog_upsert(spark, sf):
-    rows = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return reconcile.upsert(rows, rows.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+    """Of an order's lines the last one gives its status."""
+    rows = v.table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("o_orderstatus"), "l_linenumber")
+    return reconcile.upsert(v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), rows, ["o_orderkey"], "l_linenumber")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus ELSE 'N' END AS o_orderstatus FROM orders")
 def catalog_insert_missing(spark, sf):
     rows = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return reconcile.insert_missing(rows.where("o_orderkey % 5 > 0"), rows, ["o_orderkey"])
+    return reconcile.insert_missing(rows.where("o_orderkey % 5 > 0"), rows.withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"])
 
 
 # References, codecs, paths
@@ -357,11 +374,12 @@ def uri_round_trip(spark, sf):
     return v.table(spark, sf, "documents").select("doc_id", F.sha2(codec.uri_decode(codec.uri_encode(F.col("text"))), 256).alias("decoded_sha256"))
 
 
-@query("SELECT o_orderkey, o_orderkey AS from_decimal, o_orderkey AS from_octal, -o_orderkey AS from_hex FROM orders")
+@query("SELECT o_orderkey, o_orderkey AS from_decimal, o_orderkey AS from_octal, -o_orderkey AS from_hex, CASE WHEN o_orderkey > 0 THEN '0' ELSE '' END || format('{:o}', o_orderkey) AS octal, CASE WHEN o_orderkey > 0 THEN '-0x' ELSE '-' END || format('{:x}', o_orderkey) AS hexadecimal, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS odd FROM orders")
 def parse_int(spark, sf):
     n = F.col("o_orderkey")
-    rows = v.table(spark, sf, "orders").select(n, codec.encode_int(n).alias("d"), codec.encode_int(n, 8).alias("o"), F.concat(F.lit("-"), codec.encode_int(n, 16)).alias("h"))
-    return rows.select(n, codec.parse_int(F.col("d")).alias("from_decimal"), codec.parse_int(F.col("o")).alias("from_octal"), codec.parse_int(F.col("h")).alias("from_hex"))
+    broken = F.concat(n.cast("string"), F.when(n % 2 == 0, "").otherwise("x"))
+    rows = v.table(spark, sf, "orders").select(n, codec.encode_int(n).alias("d"), codec.encode_int(n, 8).alias("octal"), F.concat(F.lit("-"), codec.encode_int(n, 16)).alias("hexadecimal"), broken.alias("b"))
+    return rows.select(n, codec.parse_int(F.col("d")).alias("from_decimal"), codec.parse_int(F.col("octal")).alias("from_octal"), codec.parse_int(F.col("hexadecimal")).alias("from_hex"), "octal", "hexadecimal", codec.parse_int(F.col("b")).alias("odd"))
 
 
 @query("SELECT c_custkey, c_custkey AS id, c_name AS name FROM customer")
@@ -383,14 +401,9 @@ def julian_days(spark, sf):
 
 @query(f"WITH {v.PATHS} SELECT page_id, path, row_number() OVER (ORDER BY string_split(path, '/'), page_id) AS place FROM paths")
 def path_order(spark, sf):
-    """Place of each path when paths are compared component by component (a directory listing: a table of paths, ranked per leading component and offset)."""
-    from pyspark.sql import Window
-
-    rows = v.paths(spark, sf).withColumn("parts", F.split("path", "/")).withColumn("top", F.get("parts", F.lit(0)))
-    counts = rows.groupBy("top").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("top").orderBy("parts", "page_id"))
-    return rows.withColumn("own", own).join(before, "top").select("page_id", "path", (F.col("own") + F.col("before")).alias("place"))
+    """Place of each path when paths are compared component by component."""
+    rows = v.paths(spark, sf).withColumn("parts", F.split("path", "/"))
+    return reconcile.positions(rows, ["parts", "page_id"]).select("page_id", "path", (F.col("place") + 1).alias("place"))
 
 
 # Packing, chunks, verification
@@ -407,16 +420,29 @@ def segment_pack(spark, sf):
     return blocks.pack_segments(rows, 20000, order=("doc_id",), slots=1).select("group", "doc_id", "size", "segment_no", "object_no")
 
 
-@query()
-def chunk_incremental(spark, sf):
-    """Each text against itself with its first 3,000 characters gone: what is stored of it."""
-    rows = v.table(spark, sf, "documents").where(F.length("text") > 6000)
-    new = chunks.chunked(rows.select(F.col("doc_id").alias("file"), F.lit(0).alias("pos"), "text"), ("file", "pos"), "text")
-    old = chunks.chunked(rows.select(F.col("doc_id").alias("file"), F.substring("text", 3001, 1 << 30).alias("text")), ("file",), "text")
+def _incremental(spark, sf):
+    """Each text against itself with its first 3,000 characters gone."""
+    rows = v.table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text")
+    new = chunks.chunked(rows.withColumn("pos", F.lit(0)), ("file", "pos"), "text")
+    old = chunks.chunked(rows.select("file", F.substring("text", 3001, 1 << 30).alias("text")), ("file",), "text")
     old = old.withColumns({"segment": F.lit("old"), "object": F.lpad(F.lower(F.hex("file")), 8, "0")})
     return chunks.incremental(chunks.matched(new, old))
 
 
+@query()
+def chunk_incremental(spark, sf):
+    """What is stored of each text; where chunks end is beyond SQL (the tests compare it with a plain loop)."""
+    return _incremental(spark, sf)
+
+
+@query("SELECT doc_id AS file, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, length(text) <= 3000 AS nothing_old FROM documents WHERE length(text) <= 3000 AND length(text) > 0 UNION ALL SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT), false FROM documents WHERE length(text) > 3000")
+def chunk_sizes(spark, sf):
+    """References rebuild all bytes of each text, and texts of 3,000 characters or less are stored whole."""
+    out = _incremental(spark, sf).groupBy("file").agg(F.sum("length").alias("bytes"), F.bool_and(F.col("kind") == "whole").alias("whole"))
+    short = v.table(spark, sf, "documents").select(F.col("doc_id").alias("file"), (F.length("text") <= 3000).alias("short"))
+    return out.join(short, "file").select("file", "bytes", (F.col("whole") & F.col("short")).alias("nothing_old"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS file, CAST(octet_length(encode(text)) AS BIGINT) AS size, 'sha256=' || sha256(text) AS checksum FROM documents WHERE length(text) > 0")
 def content_verify(spark, sf):
     out = verify.content_digest(v.blocks(spark, sf).select("doc_id", "pos", F.encode("block", "UTF-8").alias("content")), "doc_id", "pos", algorithm="sha256")
@@ -483,8 +509,6 @@ def fetch_slices(spark, sf):
 
 @query("SELECT c_custkey, c_name AS name, c_custkey AS size, 'm ' || c_mktsegment AS note FROM customer")
 def parse_stanzas(spark, sf):
-    from snapweave.sources import stanzas
-
     rows = v.table(spark, sf, "customer")
     text = F.concat(F.lit("name: "), "c_name", F.lit("\nsize: 1\nsize: "), "c_custkey", F.lit("\nnote: m\n "), "c_mktsegment")
     fields = stanzas.parse_stanza(text).alias("f")
@@ -493,8 +517,6 @@ def parse_stanzas(spark, sf):
 
 @query("SELECT c_custkey, 'name: ' || c_name || chr(10) || 'balance: ' || c_mktsegment || chr(10) || 'zone: ' || c_nationkey AS stanza FROM customer")
 def format_stanzas(spark, sf):
-    from snapweave.sources import stanzas
-
     fields = F.create_map(F.lit("zone"), F.col("c_nationkey").cast("string"), F.lit("name"), F.col("c_name"), F.lit("balance"), F.col("c_mktsegment"))
     return v.table(spark, sf, "customer").select("c_custkey", stanzas.format_stanza(fields).alias("stanza"))
 
@@ -547,3 +569,258 @@ def parity_stale(spark, sf):
     members = v.table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.floor(F.col("doc_id") / 16).alias("set_no"))
     parity = members.select("set_no").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("set_no") % 4).cast("int")))).where("k > 0")
     return reconcile.stale_parity(members, members.where("name % 37 > 0"), parity).select("set_no", "n", "alive", "stale")
+
+
+@query(f"WITH {_DECIDED} SELECT doc_id, CASE WHEN max(CASE WHEN decision = 'new' THEN 1 ELSE 0 END) = 1 THEN 'new' WHEN doc_id % 4 = 0 THEN 'repack' WHEN max(CASE WHEN decision = 'rewrite' THEN 1 ELSE 0 END) = 1 THEN 'partial' ELSE 'old' END AS status, count(*) AS blocks FROM decided GROUP BY doc_id")
+def file_status_repack(spark, sf):
+    """Every fourth file is unchanged by its metadata, but its blocks have to be looked for again."""
+    return blocks.file_status(_decided(spark, sf).withColumn("cached", F.col("doc_id") % 4 == 0), "doc_id", "cached")
+
+
+# Filters from rule files
+
+
+_MERGED = globs.parse_rules("- 3*")
+
+
+@query(
+    f"WITH {v.PATHS}, p AS (SELECT page_id, path, string_split(path, '/')[1] AS host, string_split(path, '/')[2] AS lang, regexp_extract(rtrim(path, '/'), '([^/]*)$', 1) AS base FROM paths) "
+    "SELECT page_id, path FROM p WHERE CASE WHEN lang = 'en' AND base LIKE '1%' AND len(string_split(rtrim(path, '/'), '/')) > 2 THEN false WHEN lang = 'en' AND base LIKE '2%' AND len(string_split(rtrim(path, '/'), '/')) > 2 THEN true "
+    "WHEN host LIKE 'm.%' AND base LIKE '9%' THEN true WHEN host LIKE 'm.%' AND regexp_matches(path, '[.]html/?$') THEN false WHEN base LIKE '9%' THEN false WHEN base LIKE '3%' THEN false ELSE true END"
+)
+def dir_merge(spark, sf):
+    """Rule files at the root, in hosts that start with m. and in all folders en; the deepest decides."""
+    paths = v.paths(spark, sf)
+    host = F.get(F.split("path", "/"), F.lit(0))
+    files = [
+        spark.createDataFrame([("", "# old years\n- 9*\n")], "dir string, text string"),
+        paths.where(F.startswith("path", F.lit("m."))).select(host.alias("dir"), F.lit("+ 9*\n- *.html").alias("text")).distinct(),
+        paths.where(F.get(F.split("path", "/"), F.lit(1)) == "en").select(F.concat(host, F.lit("/en")).alias("dir"), F.lit("- 1*\n\n+ 2*\nno rule").alias("text")).distinct(),
+    ]
+    rules = globs.rule_table(files[0].unionByName(files[1]).unionByName(files[2]))
+    return globs.filter_by_rule_files(paths, rules, _MERGED)
+
+
+# Rebuilding the index
+
+
+_PART = 20000
+_SLICES = f"""slices AS (
+  SELECT doc_id, pos, (doc_id + pos) % 5 > 0 AS exact, unhex(substring(hex(encode(text)), pos * {2 * _PART} + 1, {2 * _PART})) AS data
+  FROM (SELECT doc_id, text, unnest(range(0, (octet_length(encode(text)) + {_PART - 1}) // {_PART})) AS pos FROM documents WHERE doc_id % 7 > 0 AND doc_id % 11 > 0))"""
+
+
+def _slices_of_files(spark, sf):
+    """Files in parts of 20,000 bytes, one object each. Of every seventh the checksum is another by now, of every eleventh the last length isn't known."""
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.encode("text", "UTF-8").alias("content")).where(F.length("content") > 0)
+    sums = docs.withColumn("checksum", F.when(F.col("file") % 7 > 0, codec.checksum(F.col("content"), "sha256")).otherwise(F.lit("sha256=0")))
+    parts = docs.select("file", F.length("content").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / _PART).cast("int"))).alias("pos"))
+    exact = (F.col("file") + F.col("pos")) % 5 > 0
+    length = F.least(F.lit(_PART), F.col("n") - F.col("pos") * _PART).cast("long")
+    known = (F.col("file") % 11 > 0) | (F.col("n") > (F.col("pos") + 1) * _PART)
+    refs_of = parts.select("file", "pos", F.lit("normal").alias("kind"), F.col("file").cast("string").alias("segment"), F.col("pos").cast("string").alias("object"), F.when(exact, 0).otherwise(100).cast("long").alias("start"), F.when(known, length).alias("length"), exact.alias("exact"))
+    return rebuild.readable_slices(refs_of, sums)
+
+
+@query(f"WITH {_SLICES}, o AS (SELECT CAST(doc_id AS VARCHAR) AS segment, CAST(pos AS VARCHAR) AS object, CASE WHEN exact THEN 'sha256=' || sha256(data) END AS checksum, CAST(octet_length(data) + CASE WHEN exact THEN 0 ELSE 100 END AS BIGINT) AS size FROM slices), i AS (SELECT CAST(doc_id AS VARCHAR) AS segment, '0' AS object, 'old' AS checksum, CAST(15000 AS BIGINT) AS size FROM documents WHERE doc_id % 2 = 0) SELECT coalesce(o.segment, i.segment) AS segment, coalesce(o.object, i.object) AS object, coalesce(o.checksum, i.checksum) AS checksum, greatest(coalesce(o.size, 0), coalesce(i.size, 0)) AS size FROM i FULL JOIN o ON i.segment = o.segment AND i.object = o.object")
+def rebuild_index(spark, sf):
+    """Objects found again by their files, put into an index that has every second one with an old checksum."""
+    index = v.table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("segment"), F.lit("0").alias("object"), F.lit("old").alias("checksum"), F.lit(15000).cast("long").alias("size"))
+    return rebuild.with_rebuilt(index, rebuild.rebuilt_objects(_slices_of_files(spark, sf), "sha256"))
+
+
+@query(f"WITH {_SLICES} SELECT CAST(doc_id AS VARCHAR) AS segment, CAST(pos AS VARCHAR) AS object, CAST(octet_length(data) AS BIGINT) AS bytes, CAST(CASE WHEN exact THEN 0 ELSE 100 END AS BIGINT) AS first FROM slices WHERE octet_length(data) >= 16384 OR NOT exact")
+def rebuild_signatures(spark, sf):
+    """Which objects get chunk signatures, and that these cover their slices without a gap."""
+    found = rebuild.rebuilt_signatures(_slices_of_files(spark, sf), "sha256")
+    return found.groupBy("segment", "object").agg(F.sum("length").alias("bytes"), F.min("offset").alias("first"))
+
+
+@query("SELECT DISTINCT l_partkey % 50 AS segmentid, CAST(l_partkey AS VARCHAR) AS object, l_partkey AS blockid, p_brand AS algorithm FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 3 > 0")
+def object_signatures(spark, sf):
+    part = v.table(spark, sf, "part")
+    index = part.select(F.col("p_partkey").alias("blockid"), (F.col("p_partkey") % 50).alias("segmentid"), F.col("p_partkey").cast("string").alias("object"))
+    signatures = part.where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("blockid"), F.col("p_brand").alias("algorithm"))
+    asked = v.table(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("segmentid"), F.col("l_partkey").cast("string").alias("object")).distinct()
+    return rebuild.object_signatures(asked, index, signatures).select("segmentid", "object", "blockid", "algorithm")
+
+
+_NAME = "'seg-' || lpad(CAST(o_custkey * 100000 + o_orderkey AS VARCHAR), 12, '0')"
+
+
+@query(f"WITH n AS (SELECT DISTINCT {_NAME} AS segment, o_orderstatus = 'F' AS known, o_orderkey FROM orders), k AS (SELECT o_orderkey AS segmentid, segment FROM n WHERE known) SELECT * FROM k UNION ALL SELECT (SELECT max(segmentid) FROM k) + row_number() OVER (ORDER BY segment) AS segmentid, segment FROM n WHERE NOT known")
+def segment_ids(spark, sf):
+    rows = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("segmentid"), F.expr(_NAME.replace("VARCHAR", "STRING")).alias("segment"), "o_orderstatus")
+    return reconcile.with_ids(rows.where("o_orderstatus = 'F'").select("segmentid", "segment"), rows)
+
+
+# Publishing a snapshot
+
+
+_ITEMS = "items AS (SELECT c_custkey AS place, c_custkey // 200 AS slot, 'name: ' || c_name || chr(10) || 'note: ' || c_mktsegment || chr(10) || chr(10) AS text, (c_custkey // 4) % 2 = 0 AS reused FROM customer)"
+
+
+def _items(spark, sf):
+    key = F.col("c_custkey")
+    where = F.struct(F.lit("5e9").alias("segment"), F.lit("0000002a").alias("object"), (key * 10).cast("long").alias("start"), F.lit(10).cast("long").alias("length"))
+    text = F.concat(F.lit("name: "), "c_name", F.lit("\nnote: "), "c_mktsegment", F.lit("\n\n"))
+    return v.table(spark, sf, "customer").select(F.floor(key / 200).alias("slot"), key.alias("place"), text.alias("text"), F.when(F.floor(key / 4) % 2 == 0, where).alias("reused"))
+
+
+_LOGGED = f"""WITH RECURSIVE {_ITEMS}, o AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY place) AS rn, length(text) AS n FROM items),
+f AS (SELECT slot, place, text, reused, rn, CAST(0 AS BIGINT) AS object_no, n AS filled FROM o WHERE rn = 1 UNION ALL
+  SELECT o.slot, o.place, o.text, o.reused, o.rn, CASE WHEN filled > 1000 THEN object_no + 1 ELSE object_no END, CASE WHEN filled > 1000 THEN n ELSE filled + n END FROM f JOIN o ON o.slot = f.slot AND o.rn = f.rn + 1),
+g AS (SELECT *, rn - row_number() OVER (PARTITION BY slot, object_no, reused ORDER BY rn) AS run, lead(reused) OVER (PARTITION BY slot, object_no ORDER BY rn) AS next FROM f),
+r AS (SELECT slot, object_no, min(rn) AS rn, CAST(NULL AS BIGINT) AS place, '@5e9/0000002a[' || min(place) * 10 || '+' || count(*) * 10 || ']' || chr(10) || CASE WHEN arg_max(next, rn) IS NULL THEN '' ELSE chr(10) END AS said FROM g WHERE reused GROUP BY slot, object_no, run
+  UNION ALL SELECT slot, object_no, rn, place, text FROM g WHERE NOT reused),
+w AS (SELECT *, coalesce(sum(length(said)) OVER (PARTITION BY slot, object_no ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r)"""
+
+
+@query(f"{_LOGGED} SELECT slot, object_no, CAST(sum(length(said)) AS BIGINT) AS length, string_agg(said, '' ORDER BY rn) AS content FROM w GROUP BY slot, object_no")
+def metadata_log(spark, sf):
+    """Metadata objects of more than 1,000 bytes of stanzas each; every second four customers are where an old log has them."""
+    return publish.metadata_log(_items(spark, sf), 1000).where("place is null").select("slot", "object_no", "length", "content")
+
+
+@query(f"{_LOGGED} SELECT place, '@@5e9/' || lpad(CAST(object_no AS VARCHAR), 8, '0') || '[' || CAST(start AS BIGINT) || '+' || length(said) || ']' || chr(10) || said AS entry FROM w WHERE place IS NOT NULL UNION ALL SELECT place, '@@5e9/0000002a[' || place * 10 || '+10]' || chr(10) || text FROM items WHERE reused")
+def statcache_write(spark, sf):
+    """Stanzas behind the places where they lie now."""
+    items = _items(spark, sf)
+    log = publish.metadata_log(items, 1000)
+    return publish.statcache_entries(items, log, F.lit("5e9"), F.lpad(F.col("object_no").cast("string"), 8, "0"))
+
+
+@query("SELECT c_custkey, 'a/' || c_custkey || '[' || c_nationkey || '+7]' AS ref, c_name AS name, c_mktsegment AS note FROM customer")
+def statcache_read(spark, sf):
+    text = F.concat(F.lit("@@a/"), "c_custkey", F.lit("["), "c_nationkey", F.lit("+7]\nname: "), "c_name", F.lit("\nnote: "), "c_mktsegment", F.lit("\n"))
+    return v.table(spark, sf, "customer").select("c_custkey", stanzas.statcache(text).alias("s")).select("c_custkey", "s.ref", F.col("s.fields")["name"].alias("name"), F.col("s.fields")["note"].alias("note"))
+
+
+def _segment_table(spark, sf):
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("s"), k.cast("string"))
+    return v.table(spark, sf, "orders").select(name.alias("segment"), F.when(k % 3 > 0, F.col("o_orderdate").cast("timestamp_ntz")).alias("timestamp"), F.concat(F.lit("segments/"), name).alias("path"), F.when(k % 2 == 0, F.concat(F.lit("sha224="), k)).alias("checksum"), (k * 7).alias("data_size"), (k * 3).alias("disk_size"), F.col("o_orderstatus").alias("type"))
+
+
+_SEGMENTS = "seg AS (SELECT 's' || o_orderkey AS segment, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS timestamp, 'segments/s' || o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'sha224=' || o_orderkey END AS checksum, o_orderkey * 7 AS data_size, o_orderkey * 3 AS disk_size, o_orderstatus AS type FROM orders)"
+
+
+@query(f"WITH {_SEGMENTS} SELECT segment, coalesce('checksum: ' || checksum || chr(10), '') || 'data_size: ' || data_size || chr(10) || coalesce('datetime: ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || chr(10), '') || 'disk_size: ' || disk_size || chr(10) || 'path: ' || path || chr(10) || 'segment: ' || segment || chr(10) || 'type: ' || type AS stanza FROM seg")
+def segment_metadata(spark, sf):
+    return publish.segment_metadata(_segment_table(spark, sf))
+
+
+@query(f"WITH {_SEGMENTS} SELECT segment, checksum, data_size, timestamp, disk_size, path, CASE WHEN data_size % 5 = 0 THEN 'old' ELSE type END AS type FROM seg")
+def segment_metadata_load(spark, sf):
+    """Written and read again, into a table that has every fifth segment only, without a checksum and with a type that its stanza doesn't name."""
+    table = _segment_table(spark, sf)
+    text = publish.segment_metadata(table).select(F.when(F.substring("segment", 2, 20).cast("long") % 5 == 0, F.regexp_replace("stanza", "\ntype: .*", "\nodd: 1")).otherwise(F.col("stanza")).alias("t"))
+    some = table.where("data_size % 5 = 0").withColumns({"type": F.lit("old"), "checksum": F.lit(None).cast("string")})
+    return publish.load_segment_metadata(some, text.select(stanzas.parse_stanza(F.col("t")).alias("fields")))
+
+
+@query(f"WITH {_SEGMENTS} SELECT segment, CASE WHEN data_size % 2 = 0 THEN coalesce(timestamp, TIMESTAMP '{NOW}') ELSE timestamp END AS timestamp, path, CASE WHEN data_size % 2 = 0 THEN 'new' ELSE checksum END AS checksum, data_size, disk_size, type FROM seg")
+def segment_close(spark, sf):
+    """Every second segment has been closed again: what is known of it is new but for its first time."""
+    table = _segment_table(spark, sf)
+    built = table.where("data_size % 2 = 0").withColumn("checksum", F.lit("new")).drop("timestamp")
+    return publish.closed_segments(built, table, _ntz(NOW))
+
+
+@query("SELECT CAST(i AS INTEGER) AS part, line FROM (VALUES (0, 'Format: Snapshot v0.11'), (1, 'Scheme: home'), (2, 'Root: a/b'), (3, 'Segments:')) t(i, line) UNION ALL SELECT 4, '    s' || o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def descriptor_write(spark, sf):
+    used = account.used_segments(v.segments(spark, sf), v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segmentid"))).select(F.concat(F.lit("s"), "segmentid").alias("segment"))
+    return publish.descriptor_lines({"Format": "Snapshot v0.11", "Scheme": "home", "Root": "a/b"}, used)
+
+
+@query("SELECT c_custkey, c_mktsegment AS scheme, 'r/' || c_custkey AS root, 'a' || c_custkey || ',b' AS segments, CAST(c_nationkey % 20 <= 11 AS BOOLEAN) AS format_ok FROM customer")
+def descriptor_read(spark, sf):
+    text = F.concat(F.lit("Format: Snapshot v0."), F.col("c_nationkey") % 20, F.lit("\nScheme: "), "c_mktsegment", F.lit("\nRoot: r/"), "c_custkey", F.lit("\nSegments:\n    a"), "c_custkey", F.lit("\n    b\n"))
+    rows = v.table(spark, sf, "customer").select("c_custkey", stanzas.descriptor(text).alias("d"))
+    return rows.select("c_custkey", "d.scheme", "d.root", F.array_join("d.segments", ",").alias("segments"), stanzas.version_ok(F.col("d.version")).alias("format_ok"))
+
+
+@query("SELECT '1.' || o_orderkey || coalesce('.' || l_linenumber, '') AS place, coalesce('l' || l_linenumber, CASE WHEN o_orderstatus = 'F' THEN '@' || o_orderkey ELSE 'o' || o_orderkey END) AS line FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey AND o_orderstatus = 'F'")
+def log_includes(spark, sf):
+    """A log in which an order is a line, or a reference to the log of its lines."""
+    orders = v.table(spark, sf, "orders")
+    line = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("@"), "o_orderkey")).otherwise(F.concat(F.lit("o"), "o_orderkey"))
+    lines = orders.select(F.array(F.lit(1), F.col("o_orderkey").cast("int")).alias("place"), line.alias("line"))
+    logs = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("ref"), F.col("l_linenumber").cast("int").alias("no"), F.concat(F.lit("l"), "l_linenumber").alias("line")).distinct()
+    return stanzas.expand(lines, logs).select(F.array_join(F.transform("place", lambda x: x.cast("string")), ".").alias("place"), "line")
+
+
+@query("SELECT source || '-' || doc_id // 50 AS segment, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS object, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS digest FROM documents")
+def segment_members(spark, sf):
+    """Segments as tar archives and back."""
+    rows = v.table(spark, sf, "documents").select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 50)).alias("segment"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("object"), F.encode("text", "UTF-8").alias("content"))
+    found = segments.members(segments.build_segments(rows, "gz").select(F.concat("segment", F.lit(".tar.gz")).alias("path"), F.col("archive").alias("content")))
+    return found.select("segment", "object", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT l_orderkey AS segment, count(*) AS objects, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS data_size FROM lineitem GROUP BY 1")
+def segment_stats(spark, sf):
+    return segments.segment_stats(v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segment"), F.col("l_quantity").cast("long").alias("size")))
+
+
+# Configuration, listings, schemas
+
+
+_CONFIG = "[global]\ndest = x\n[backup:view]\nretain = daily:5D yearly:400D odd:x\n[backup:click]\nretain = all:1D weekly:2W\n"
+
+
+@query(f"WITH {_LABELS} SELECT scheme, class, snapshotid, retained FROM labelled WHERE (scheme = 'view' AND class IN ('daily', 'yearly')) OR (scheme = 'click' AND class IN ('all', 'weekly'))")
+def retention_by_config(spark, sf):
+    """Each scheme under the policy that its section names."""
+    out = None
+    for scheme, options in config.read_config(_CONFIG).items():
+        if "retain" in options:
+            rows = retain.labels(v.snapshots(spark, sf).where(F.col("scheme") == scheme), config.retention_policy(options["retain"])[0], _ntz(NOW))
+            out = rows if out is None else out.unionByName(rows)
+    return out.select("scheme", "class", "snapshotid", "retained")
+
+
+_LISTED = "CASE o_orderkey % 6 WHEN 0 THEN 'snapshots/snapshot-home-' || o_orderkey || '.lbs' WHEN 1 THEN 'meta/snapshot-' || o_orderkey || '.meta.gz' WHEN 2 THEN 'segments0/' || substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) || '-0000-4000-8000-' || substring(md5(CAST(o_orderkey AS VARCHAR)), 9, 12) || '.tar.bz2' WHEN 3 THEN 'checksums/snapshot-' || o_orderkey || '.sha1sums' WHEN 4 THEN 'segments0/other-' || o_orderkey || '.tar' ELSE 'elsewhere/snapshot-' || o_orderkey || '.lbs' END"
+
+
+@query(f"SELECT path, CASE k WHEN 0 THEN 'snapshots' WHEN 1 THEN 'meta' WHEN 2 THEN 'segments' ELSE 'checksums' END AS type, CASE k WHEN 0 THEN 'home-' || n WHEN 2 THEN substring(path, 11, 36) ELSE CAST(n AS VARCHAR) END AS name, CASE k WHEN 0 THEN 'lbs' WHEN 1 THEN 'gz' WHEN 2 THEN 'bz2' ELSE 'sha1' END AS extension FROM (SELECT {_LISTED} AS path, o_orderkey % 6 AS k, o_orderkey AS n FROM orders) WHERE k < 4")
+def typed_listing(spark, sf):
+    return config.typed_listing(v.table(spark, sf, "orders").select(F.expr(_LISTED.replace("VARCHAR", "STRING")).alias("path")))
+
+
+@query("WITH b AS (SELECT DISTINCT l_partkey AS blockid, l_partkey % 40 AS segmentid, l_partkey % 90 + 1 AS size FROM lineitem), c AS (SELECT DISTINCT l_suppkey AS snapshotid, l_partkey AS blockid FROM lineitem) SELECT snapshotid, segmentid, CAST(sum(size) AS BIGINT) AS bytes_referenced FROM c JOIN b USING (blockid) GROUP BY 1, 2")
+def catalog_upgrade(spark, sf):
+    """From the oldest schema to the present one: what each snapshot uses of each segment."""
+    lines = v.table(spark, sf, "lineitem")
+    key = F.col("l_partkey")
+    old = {
+        "block_index": lines.select(key.alias("blockid"), (key % 40).alias("segmentid"), key.cast("string").alias("object"), F.lit(None).cast("string").alias("checksum"), (key % 90 + 1).alias("size"), _ntz(NOW).alias("timestamp"), F.lit(None).cast("int").alias("expired")).distinct(),
+        "segments": lines.select((key % 40).alias("segmentid"), (key % 40).cast("string").alias("segment"), F.lit("p").alias("path"), F.lit("c").alias("checksum")).distinct(),
+        "snapshot_contents": lines.select(F.col("l_suppkey").alias("snapshotid"), key.alias("blockid")).distinct(),
+        "snapshots": lines.select(F.col("l_suppkey").alias("snapshotid"), F.lit("n").alias("name"), F.lit(None).cast("string").alias("scheme"), _ntz(NOW).alias("timestamp")).distinct(),
+    }
+    return schema.to_current(schema.with_signatures(schema.with_sizes(old)))["segment_utilization"]
+
+
+@query("SELECT event_type AS scheme, string_agg(n, ',' ORDER BY n) AS snapshots FROM (SELECT event_type, strftime(ts, '%Y%m%dT%H%M%S') || '-' || event_id AS n FROM events) GROUP BY 1")
+def snapshots_per_scheme(spark, sf):
+    rows = v.snapshots(spark, sf).select("scheme", F.concat_ws("-", codec.format_snapshot_time(F.col("timestamp")), F.col("snapshotid").cast("string")).alias("name"))
+    return schema.per_scheme(rows).select("scheme", F.array_join("snapshots", ",").alias("snapshots"))
+
+
+@query("SELECT event_id AS snapshotid, row_number() OVER (ORDER BY event_type, strftime(ts, '%Y%m%dT%H%M%S'), event_id) - 1 AS place FROM events")
+def snapshot_order(spark, sf):
+    """Snapshots by scheme and name, which is by time inside a scheme."""
+    rows = v.snapshots(spark, sf).select("snapshotid", "scheme", codec.format_snapshot_time(F.col("timestamp")).alias("name"))
+    return reconcile.positions(rows, ["scheme", "name", "snapshotid"]).select("snapshotid", "place")
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS INTEGER) AS major, CAST(c_custkey AS INTEGER) AS minor, 'a/b' || c_custkey AS path, round(c_custkey * 1000 / 1048576.0::DOUBLE, 3) AS size_mib, c_custkey % 2 = 0 AS sum_ok, c_custkey % 4 < 2 AS is_regular FROM customer")
+def file_fields(spark, sf):
+    """Devices, paths, sizes, checksums and types of files."""
+    key = F.col("c_custkey")
+    rows = v.table(spark, sf, "customer").select(key, codec.parse_device(F.concat("c_nationkey", F.lit("/0x"), F.lower(F.hex(key)))).alias("d"), codec.normal_path(F.concat(F.lit("/a/b"), key)).alias("path"), codec.mib(key * 1000).alias("size_mib"), "c_name")
+    name = F.encode("c_name", "UTF-8")
+    text = F.when(key % 2 == 0, codec.checksum(name, "sha1")).otherwise(codec.checksum(F.encode(F.lit("x"), "UTF-8"), "sha1"))
+    kind = F.element_at(F.array(*map(F.lit, "f-dl")), (key % 4 + 1).cast("int"))
+    return rows.select(key, "d.major", "d.minor", "path", "size_mib", codec.checksum_ok(name, text).alias("sum_ok"), blocks.is_regular(kind).alias("is_regular"))

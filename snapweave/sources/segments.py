@@ -26,10 +26,14 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["segment", "object", "size", "content"])
 
 
+def members(archives: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``segment, object, size, content`` of tar files (plain, gzip, bzip2 or xz) in a binary column; a segment is a few megabytes."""
+    return archives.select(path, content).mapInArrow(_members, "segment string, object string, size long, content binary")
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """``segment, object, size, content`` of the tar files (plain, gzip, bzip2 or xz) at ``path``; a segment is a few megabytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar*").load(path)
-    return files.select("path", "content").mapInArrow(_members, "segment string, object string, size long, content binary")
+    """``members`` of the tar files at ``path``."""
+    return members(spark.read.format("binaryFile").option("pathGlobFilter", "*.tar*").load(path))
 
 
 def _tarred(mode: str, pdf):

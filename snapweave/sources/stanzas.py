@@ -23,12 +23,16 @@ def read_stanzas(spark: SparkSession, path: str) -> DataFrame:
     return text.where(F.trim(F.regexp_replace("value", r"\n", "")) != "").select(parse_stanza(F.col("value")).alias("fields"))
 
 
-def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot descriptors, one per file: their fields, scheme, root, segments and format version as numbers."""
-    rows = spark.read.option("wholetext", True).text(path).select(parse_stanza(F.col("value")).alias("fields"))
-    f = F.col("fields")
+def descriptor(text: Column) -> Column:
+    """A snapshot descriptor: its fields, scheme, root, segments and format version as numbers."""
+    f = parse_stanza(text)
     version = F.transform(F.split(F.regexp_extract(f["Format"], r"v([0-9.]+)", 1), r"\."), lambda x: x.try_cast("int"))
-    return rows.select("fields", f["Scheme"].alias("scheme"), f["Root"].alias("root"), F.split(F.trim(f["Segments"]), r"\s+").alias("segments"), version.alias("version"))
+    return F.struct(f.alias("fields"), f["Scheme"].alias("scheme"), f["Root"].alias("root"), F.split(F.trim(f["Segments"]), r"\s+").alias("segments"), version.alias("version"))
+
+
+def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot descriptors, one per file."""
+    return spark.read.option("wholetext", True).text(path).select(descriptor(F.col("value")).alias("d")).select("d.*")
 
 
 def version_ok(version: Column, most: tuple[int, ...] = (0, 11)) -> Column:

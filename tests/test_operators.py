@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from snapweave.functions import codec, globs, refs
-from snapweave.operators import account, blocks, chunks, clean, reconcile, retain, verify
-from snapweave.sources import segments, stanzas, tree
+from snapweave.operators import account, blocks, chunks, clean, rebuild, reconcile, retain, verify
+from snapweave.sources import catalog as schema
+from snapweave.sources import config, publish, segments, stanzas, tree
 
 GLOBS = {
     # pattern and base: paths that it matches, paths that it doesn't
@@ -224,3 +225,136 @@ def test_empty_tables(spark):
     assert blocks.split_blocks(empty, 4).count() == 0
     assert account.use_objects(spark.createDataFrame([], "snapshotid int, segmentid int, object string, length long, size long")).count() == 0
     assert blocks.split_blocks(spark.createDataFrame([(1, ""), (2, None), (3, "abcde")], "doc_id long, content string"), 4).count() == 2
+
+
+def fold_of_buckets(days, mean, min_age=4):
+    """Days from the oldest on, one at a time, as (ages that start a bucket, least cut)."""
+    total = sum(b for _, b in days)
+    target = max(2 * mean, total / (2 * (total / mean) ** 0.4))
+    buckets, young = [[]], False
+    for age, size in sorted(days, reverse=True):
+        full = sum(b for _, b in buckets[-1]) >= target
+        if age < min_age and not young:
+            young = True
+            if not full and len(buckets) > 1:
+                last = buckets.pop()
+                buckets[-1] = buckets[-1] + last
+            buckets.append([])
+        elif full:
+            buckets.append([])
+        buckets[-1].append((age, size))
+    starts = [b[0][0] for b in buckets[1:]]
+    if sum(b for _, b in buckets[-1]) >= 1.5 * mean or not young:
+        starts.append(-1)
+    return [-1, *reversed(starts)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(0, 30), st.integers(1, 500), min_size=1), st.integers(1, 400))
+def test_bucket_cutoffs_against_a_fold(days, mean):
+    assert clean.bucket_cutoffs(list(days.items()), mean) == fold_of_buckets(list(days.items()), mean)
+
+
+def test_positions_and_ids(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "ü", ""]), rng.randrange(50), [rng.choice("xyz")] * rng.randrange(3)) for _ in range(500)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "s string, n int, l array<string>")
+    got = reconcile.positions(df, ["s", "l", "n"]).collect()
+    assert sorted(r.place for r in got) == list(range(503))
+    key = lambda r: (r.s is not None, (r.s or "").encode(), r.l is not None, r.l or [], r.n is not None, r.n or 0)
+    assert [key(r) for r in sorted(got, key=lambda r: r.place)] == sorted(map(key, got))
+    assert reconcile.positions(df.limit(0), ["s"]).count() == 0
+    known = spark.createDataFrame([(7, "b"), (3, "a")], "segmentid long, segment string")
+    names = spark.createDataFrame([("d",), ("a",), (None,), ("c",), ("c",)], "segment string")
+    assert sorted(map(tuple, reconcile.with_ids(known, names).collect())) == [(3, "a"), (7, "b"), (8, "c"), (9, "d")]
+    assert reconcile.with_ids(known.limit(0), names).count() == 3
+
+
+def test_upsert(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    rows = spark.createDataFrame([(2, "x", 1), (2, "c", 2), (3, None, 1), (3, None, 1)], "k int, v string, no int")
+    assert sorted(map(tuple, reconcile.upsert(table, rows, ["k"], "no").collect())) == [(1, "a"), (2, "c"), (3, None)]
+    assert sorted(map(tuple, reconcile.upsert(table, rows.drop("no"), ["k"]).collect())) == [(1, "a"), (2, "x"), (3, None)]
+    assert sorted(map(tuple, reconcile.upsert(table.select("k"), rows.select("k"), ["k"]).collect())) == [(1,), (2,), (3,)]
+
+
+def test_rule_files(spark):
+    files = spark.createDataFrame([("", "- *.tmp\n- /a/skip/\n"), ("a", "+ keep.tmp\n- b/\n"), ("a/b", "+ *\n"), ("c", "x" * globs.RULE_FILE_LIMIT), (".", "- never")], "dir string, text string")
+    rules = globs.rule_table(files)
+    paths = ["x.tmp", "a/keep.tmp", "a/x.tmp", "keep.tmp", "a/b/y.txt", "a/skip/z", "a/skip/", "a/ok", "c/x.tmp", "d/b/e", "a/"]
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(paths * 2)], "path string, i int")
+    got = [r.path for r in globs.filter_by_rule_files(df, rules, globs.parse_rules("- /d/b/e")).collect()]
+    assert sorted(got) == sorted(["a/keep.tmp", "a/ok", "a/"] * 2)
+    coded = globs.filter_by_rule_files(df, rules, [], precedence="as_coded").collect()
+    assert sorted({r.path for r in coded}) == ["a/", "a/ok", "d/b/e"]
+    assert globs.filter_by_rule_files(df.limit(0), rules, []).count() == 0 and globs.filter_by_rule_files(df, rules.limit(0), []).count() == len(paths) * 2
+
+
+def test_metadata_objects(spark):
+    ref = lambda a, n: ("s", "o", a, n)
+    items = [(0, 0, "aa\n\n", None), (0, 1, "bb\n\n", ref(0, 4)), (0, 2, "cc\n\n", ref(4, 4)), (0, 3, "dé\n\n", None), (0, 4, "ee\n\n", ref(90, 4)), (0, 5, "ff\n\n", ref(8, 4)), (1, 0, "gg\n\n", ref(8, 4)), (1, 1, "", None)]
+    df = spark.createDataFrame(items, "slot int, place int, text string, reused struct<segment:string,object:string,start:long,length:long>")
+    log = publish.metadata_log(df, 1 << 16).collect()
+    whole = {r.slot: r.content for r in log if r.place is None}
+    assert whole == {0: "aa\n\n@s/o[0+8]\n\ndé\n\n@s/o[90+4]\n@s/o[8+4]\n", 1: "@s/o[8+4]\n\n"}
+    for r in log:
+        if r.place is not None:
+            assert whole[r.slot].encode()[r.offset : r.offset + r.length].decode() == items[r.place + 6 * r.slot][2]
+    cut = [(r.object_no, r.content) for r in publish.metadata_log(df.where("slot = 0"), 7).collect() if r.place is None]
+    assert cut == [(0, "aa\n\n@s/o[0+4]\n"), (1, "@s/o[4+4]\n\ndé\n\n"), (2, "@s/o[90+4]\n@s/o[8+4]\n")]
+    entries = dict(map(tuple, publish.statcache_entries(df.where("slot = 0"), publish.metadata_log(df), F.lit("m"), F.lit("1")).collect()))
+    assert entries[3] == "@@m/1[15+5]\ndé\n\n" and entries[4] == "@@s/o[90+4]\nee\n\n"
+    assert publish.metadata_log(df.limit(0)).count() == 0
+
+
+def test_descriptor_round_trip(spark, tmp_path):
+    used = spark.createDataFrame([("b",), ("a",), ("b",)], "segment string")
+    path = str(tmp_path / "snapshot-x.lbs")
+    publish.publish(publish.descriptor_lines({"Format": "Snapshot v0.11", "Root": "r/1"}, used).coalesce(1), path)
+    text = "\n".join(r.value for r in spark.read.text(path).collect())
+    assert text == "Format: Snapshot v0.11\nRoot: r/1\nSegments:\n    a\n    b"
+    with pytest.raises(Exception, match="(?i)exist"):
+        publish.publish(publish.descriptor_lines({}, used), path)
+    got = spark.createDataFrame([(text,)], "t string").select(stanzas.descriptor(F.col("t")).alias("d")).select("d.*").first()
+    assert (got.root, got.segments, got.version) == ("r/1", ["a", "b"], [0, 11])
+
+
+def test_catalog_versions(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    tables = schema.empty(spark)
+    schema.publish(tables, path, 1)
+    more = tables | {"snapshots": spark.createDataFrame([(1, "home-20240101T000000", "home", None)], schema.SCHEMAS["snapshots"])}
+    for name, df in more.items():
+        if name != "segments":
+            df.write.parquet(f"{path}/version=2/{name}")  # a run that failed: nothing is published
+    assert schema.open_catalog(spark, path)[0] == 1
+    schema.publish(more, path, 2)
+    number, found = schema.open_catalog(spark, path)
+    assert number == 2 and found["snapshots"].first().name == "home-20240101T000000" and found["segments"].count() == 0
+    with pytest.raises(ValueError):
+        schema.open_catalog(spark, path, (0, 12))
+
+
+def test_config():
+    policy, odd = config.retention_policy("daily:5D12h bad weekly:x yearly:1Y")
+    assert policy == {"daily": 5 * 86400 + 43200, "yearly": 365 * 86400} and odd == ["bad", "weekly:x"]
+    assert config.read_config("[global]\na = 1\n[backup:home]\nretain = all:1D\n") == {"[global]": {"a": "1"}, "home": {"retain": "all:1D"}}
+
+
+def test_references_of_any_text(spark):
+    odd = ["\x01a/0f", "a/0f\x01", "a/0f[99999999999999999999]", "a/0f[", "zero", "@zero[3]", "a/0f\n"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", refs.parse_ref(F.col("t")).alias("r")).collect()
+    assert [r.r.kind for r in rows] == ["null", "null", "normal", "null", "zero", "zero", "null"]
+    assert rows[2].r.length is None and rows[5].r.indirect
+
+
+def test_rebuild_leaves_changed_files(spark):
+    data = bytes(range(256)) * 100
+    sums = [("f", data, "sha1=" + hashlib.sha1(data).hexdigest()), ("g", data, "sha1=0"), ("h", data[:10], "sha1=" + hashlib.sha1(data[:10]).hexdigest()), ("i", None, "sha1=0")]
+    files = spark.createDataFrame(sums, "file string, content binary, checksum string")
+    rows = [("f", 0, "normal", "s", "1", 0, 20000, True), ("f", 1, "zero", None, None, 0, 600, False), ("f", 2, "normal", "s", "2", 50, 5000, False), ("g", 0, "normal", "s", "3", 0, 25600, True), ("h", 0, "normal", "s", "4", None, None, False), ("i", 0, "normal", "s", "5", 0, 1, True)]
+    refs_of = spark.createDataFrame(rows, "file string, pos int, kind string, segment string, object string, start long, length long, exact boolean")
+    slices = rebuild.readable_slices(refs_of, files)
+    assert {(r.object, r.size, r.checksum) for r in rebuild.rebuilt_objects(slices, "sha1").collect()} == {("1", 20000, "sha1=" + hashlib.sha1(data[:20000]).hexdigest()), ("2", 5050, None)}
+    found = rebuild.rebuilt_signatures(slices, "sha1").orderBy("object", "offset").collect()
+    assert [(r.offset, bytes(r.hash)) for r in found if r.object == "2"][0][0] == 50 and sum(r.length for r in found if r.object == "1") == 20000
