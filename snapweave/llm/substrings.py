@@ -6,7 +6,9 @@ places. Consecutive starts with one anchor form a piece; each start is in exactl
 one piece.
 
 1. Pieces that are equal to one before them, told by hash, are repeated as a
-   whole: first inside a few megabytes, then, dealt by anchor and sorted, in all.
+   whole: first inside a few megabytes, then, dealt by anchor and sorted, in all. Anchors
+   that are frequent in a sample of the texts are dealt by anchor and piece instead, so that
+   a line that stands everywhere in other surroundings is many tasks' work.
 2. Texts that hold the first of a piece whose anchor has other pieces too give
    the bytes of these pieces.
 3. The first of each piece goes, with the other pieces of its anchor, into a
@@ -15,8 +17,8 @@ one piece.
    if their first token is, as far as it lies in them, and what follows are
    neighbours in the suffix array with enough bytes in common. All but the
    earliest repeat.
-4. An anchor with more than ``GROUP`` pieces is dealt to several batches; the
-   earliest strings of these meet once more by hash.
+4. An anchor with more than ``GROUP`` pieces, or dealt by piece, is in several batches;
+   the earliest strings of these meet once more by hash.
 5. Repeated ranges are gathered per document, merged and cut out.
 """
 
@@ -41,6 +43,14 @@ from snapweave.llm.gsaca import suffix_array
 WIDTH, GRAM = 100, 32
 #: Pieces of one anchor in one batch, and bytes of a batch beyond which a new one starts.
 GROUP, BATCH = 1000, 1 << 18
+#: One text in so many is looked at for frequent anchors. Which ones are found decides where pieces meet, not what is found.
+SAMPLE = 64
+#: An anchor is frequent if it has so many sampled pieces, and so small a part of all of them; hence at most that many are.
+FREQUENT, MOST = 32, 10_000
+#: Ways that the pieces of a frequent anchor are dealt.
+SHARES = 256
+#: Starts whose anchors are found at once.
+SEGMENT = 1 << 24
 _STARTS = WIDTH - GRAM + 1
 DOC = ["d", "t"]
 
@@ -52,27 +62,32 @@ def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         none = np.zeros(0, np.int64)
         return none, none, none, none
     sums = prefix_sums(data)
-    at = np.arange(n - GRAM + 1)
-    gram = slice_hashes(sums, at, at + GRAM)
-    least = (gram & np.uint64(0xFFFFFFFFF0000000)) | at.astype(np.uint64)  # the place breaks ties, and tells which it was
-    width = 1
-    while 2 * width <= _STARTS:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = _STARTS - width
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    place = (least & np.uint64(0xFFFFFFF)).astype(np.int64)
+    place = np.empty(n - WIDTH + 1, np.int64)
+    gram = np.empty(n - WIDTH + 1, np.uint64)
+    for a in range(0, len(place), SEGMENT):
+        b = min(a + SEGMENT, len(place))
+        at = np.arange(b - a + _STARTS - 1)
+        hashes = slice_hashes(sums, a + at, a + at + GRAM)
+        least = (hashes & np.uint64(0xFFFFFFFFF0000000)) | at.astype(np.uint64)  # the place breaks ties, and tells which it was
+        width = 1
+        while 2 * width <= _STARTS:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        rest = _STARTS - width
+        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+        own = (least & np.uint64(0xFFFFFFF)).astype(np.int64)
+        place[a:b], gram[a:b] = a + own, hashes[own]
     starts = np.arange(len(place))
     doc = np.searchsorted(ends, starts, side="right")
     ok = starts + WIDTH <= ends[doc]
-    starts, place, doc = starts[ok], place[ok], doc[ok]
+    starts, place, gram, doc = starts[ok], place[ok], gram[ok], doc[ok]
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, none, none
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])]))
     first = starts[new]
     count = np.diff(np.append(new, len(starts)))
-    return first, count, gram[place[new]].view(np.int64), slice_hashes(sums, first, first + count + WIDTH - 1).view(np.int64)
+    return first, count, gram[new].view(np.int64), slice_hashes(sums, first, first + count + WIDTH - 1).view(np.int64)
 
 
 _LEAST = -(1 << 63)
@@ -96,7 +111,24 @@ def _joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
 
 
-def _pieces(whole: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of texts, with their numbers of pieces, a few megabytes at a time."""
+    for _, texts in chunks(batches, 1, 1 << 20):
+        _, _, anchor, _ = pieces(*_joined([(t or "").encode() for t in texts]))
+        anchors, n = np.unique(anchor, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(n, pa.int64())], names=["anchor", "n"])
+
+
+def frequent(texts: DataFrame, sample: int = SAMPLE, least: int = FREQUENT, most: int = MOST) -> np.ndarray:
+    """At most ``most`` anchors that have ``least`` pieces or more in a sample of ``texts`` (id, text), sorted."""
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
+    counts = written(sample.mapInArrow(_sampled, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= max(least, -(-total // most))).select("anchor").collect()  # so at most that many rows
+    return np.array(sorted(r["anchor"] for r in found), np.int64)
+
+
+def _pieces(whole: bool, hot: np.ndarray, shares: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of texts (columns id, text), a few megabytes at a time.
 
     A piece that occurs earlier among the same megabytes is repeated whatever else there is.
@@ -125,7 +157,8 @@ def _pieces(whole: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["d", "t", "start", "end"])
         else:
             k = ~again
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(piece[k]), pa.array(d[doc[k]]), pa.array(t[doc[k]]), pa.array(a[k] << 8 | count[k])], names=["anchor", "piece", "d", "t", "at"])
+            share = np.where(np.isin(anchor[k], hot), 1 + (piece[k].view(np.uint64) % np.uint64(shares)).astype(np.int32), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(share), pa.array(piece[k]), pa.array(d[doc[k]]), pa.array(t[doc[k]]), pa.array(a[k] << 8 | count[k])], names=["anchor", "share", "piece", "d", "t", "at"])
 
 
 def _runs_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
@@ -139,22 +172,22 @@ def _runs_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[
     return [(k, s, e) for k, s, e in out]
 
 
-def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, piece and place. Out: pieces that occurred before (``salt`` null), and the first of each piece whose anchor has several."""
+def _compare(group: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, share, piece and place. Out: pieces that occurred before (``salt`` null), and the first of each piece whose anchor has several, or is frequent (share above 0)."""
     last = None  # the previous row
     held = None  # the first piece of the current anchor, as long as it is the only one
-    number = 0  # of the current piece in its anchor
+    number = 0  # of the current piece in its anchor and share
     names = ["anchor", "d", "t", "at", "salt"]
     for b in batches:
-        anchor, piece, d, t, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        anchor, share, piece, d, t, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         if not len(anchor):
             continue
-        before = [np.concatenate([[v], c[:-1]]) for v, c in zip(last or (0,) * 5, (anchor, piece, d, t, at))]
-        new_anchor = anchor != before[0]
-        new_piece = new_anchor | (piece != before[1])
+        before = [np.concatenate([[v], c[:-1]]) for v, c in zip(last or (0,) * 6, (anchor, share, piece, d, t, at))]
+        new_anchor = (anchor != before[0]) | (share != before[1])
+        new_piece = new_anchor | (piece != before[2])
         if last is None:
             new_anchor[0] = new_piece[0] = True
-        equal = ~new_piece & (d == before[2]) & (t == before[3]) & (at == before[4])
+        equal = ~new_piece & (d == before[3]) & (t == before[4]) & (at == before[5])
         lead = np.flatnonzero(new_piece)
         if last is None or new_piece[0]:
             lead_of = lead[np.cumsum(new_piece) - 1]
@@ -167,18 +200,20 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in lead.tolist():
             row = (anchor[i], d[i], t[i], at[i])
             if new_anchor[i]:
-                held, number = row, 0
+                held, number = None if share[i] else row, 0
+                if share[i]:
+                    rows.append((*row, int(share[i]) << 20))
                 continue
             number += 1
             if held is not None:
                 rows.append((*held, 0))
                 held = None
-            rows.append((*row, number // GROUP))
+            rows.append((*row, (int(share[i]) << 20) + number // group))
         if len(lead):
             first = (d[lead[-1]], t[lead[-1]], at[lead[-1]])
-        last = (anchor[-1], piece[-1], d[-1], t[-1], at[-1])
+        last = (anchor[-1], share[-1], piece[-1], d[-1], t[-1], at[-1])
         cols = list(zip(*rows)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
@@ -193,7 +228,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, n = p["at"] >> 8, p["at"] & 255
                 out.append((p["anchor"], p["salt"], d, t, a, text[a : a + n + WIDTH - 1]))
         cols = list(zip(*out)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["anchor", "salt", "d", "t", "a", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["anchor", "salt", "d", "t", "a", "data"])
 
 
 def tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,14 +371,15 @@ def _kept(carried: int, with_text: bool, batches: Iterable[pa.RecordBatch]) -> I
         yield pa.RecordBatch.from_arrays([ids, *[b.column(1 + i) for i in range(carried)], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", *[f"c{i}" for i in range(carried)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + carried + with_text])
 
 
-def remove(df: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove(df: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group: int = GROUP, sample: int = SAMPLE, least: int = FREQUENT, shares: int = SHARES) -> DataFrame:
     """``doc_id``, the ``carry`` columns, ``n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text``) of every row.
 
     A byte goes if it lies in a 100-byte string that also starts earlier: in a document of
     smaller id, or before in the same one. A null text is empty; a null id counts as the
     smallest. Rows that share an id but not their text are ordered by the text's CRC-32;
     rows that share both are one document, and each gets its result. ``kept_text`` leaves out
-    characters that were cut in two. An empty table gives no rows.
+    characters that were cut in two. An empty table gives no rows. ``group``, ``sample``, ``least`` and
+    ``shares`` deal the work and change no result.
     """
     rows = df.select(df[id_col].cast("long").alias("d"), df[text_col].alias("text"), *[df[c].alias(f"c{i}") for i, c in enumerate(carry)])
     kinds = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carry)]
@@ -351,11 +387,12 @@ def remove(df: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", t
     packed = rows.mapInArrow(functools.partial(_pack, len(carry)), T.StructType([*doc, *kinds, T.StructField("z", T.BinaryType())]))
     plain = rows.select("d", "text")
 
-    near = plain.mapInArrow(functools.partial(_pieces, True), "d long, t int, start long, end long")
-    rest = plain.mapInArrow(functools.partial(_pieces, False), "anchor long, piece long, d long, t int, at long")
+    hot = frequent(plain, sample, least)
+    near = plain.mapInArrow(functools.partial(_pieces, True, hot, shares), "d long, t int, start long, end long")
+    rest = plain.mapInArrow(functools.partial(_pieces, False, hot, shares), "anchor long, share int, piece long, d long, t int, at long")
     # equal pieces of a few megabytes are one row by now, so an anchor has a row per megabytes at most where its pieces are equal
-    rest = rest.repartition("anchor").sortWithinPartitions("anchor", "piece", "d", "t", "at")
-    rest = written(rest.mapInArrow(_compare, "anchor long, d long, t int, at long, salt int"), "pieces")
+    rest = rest.repartition("anchor", "share").sortWithinPartitions("anchor", "share", "piece", "d", "t", "at")
+    rest = written(rest.mapInArrow(functools.partial(_compare, group), "anchor long, d long, t int, at long, salt long"), "pieces")
     start = F.shiftright("at", 8)
     whole = rest.where("salt is null").select("d", "t", start.alias("start"), (start + F.col("at").bitwiseAND(F.lit(255)) + WIDTH - 1).alias("end"))
 
@@ -365,7 +402,7 @@ def remove(df: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", t
     places = written(places, "places")
     texts = rows.select("d", "text").mapInArrow(functools.partial(_pack, 0), T.StructType([*doc, T.StructField("z", T.BinaryType())]))
     cut = bitmap_filter(texts, places, "d").join(places, DOC).select("d", "t", "places", "z")
-    cut = cut.mapInArrow(_cut, "anchor long, salt int, d long, t int, a long, data binary").join(split, "anchor", "left")
+    cut = cut.mapInArrow(_cut, "anchor long, salt long, d long, t int, a long, data binary").join(split, "anchor", "left")
     dealt = cut.select("anchor", "salt", F.col("split").isNotNull().alias("split"), "d", "t", "a", "data").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     found = written(dealt.mapInArrow(_sorted_batches, "d long, t int, start long, end long, string long"), "found")
     inside = found.where("string is null").drop("string")

@@ -283,14 +283,23 @@ def test_suffix_arrays():
         assert gsaca.suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("group", [1000, 1])
-def test_substrings(spark, docs, group, monkeypatch):
-    monkeypatch.setattr(substrings, "GROUP", group)
+def test_pieces_of_long_texts(monkeypatch):
+    data = np.frombuffer(" ".join(texts(8, 2)).encode(), np.uint8)
+    ends = np.array([1000, 1090, len(data)])
+    whole = substrings.pieces(data, ends)
+    monkeypatch.setattr(substrings, "SEGMENT", 70)
+    assert all((a == b).all() for a, b in zip(whole, substrings.pieces(data, ends)))
+    assert (whole[1].sum(), whole[0][0]) == (sum(max(0, n - 99) for n in (1000, 90, len(data) - 1090)), 0)
+
+
+@pytest.mark.parametrize("dealt", [{}, {"group": 1}, {"sample": 1, "least": 2, "shares": 3, "group": 2}])
+def test_substrings(spark, docs, dealt):
+    assert dealt.get("sample") != 1 or len(substrings.frequent(docs[0].select("doc_id", "text"), 1, 2)) > 10
     df, rows = docs
     passage = "a passage of well over one hundred bytes that stands in several texts, word for word, and that must go but once, é"
     more = [(120, "intro one " + passage + " end"), (121, passage.upper() + passage), (122, "other " + passage[:104] + "X" + passage[104:] + passage), (123, "x" * 99)]
     df = df.unionByName(frame(spark, more))
-    got = by_id(substrings.remove(df), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = by_id(substrings.remove(df, **dealt), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert substrings.remove(df).count() == len(rows) + 4
     seen, n = set(), 0
     for i, text in dict(sorted(rows + more)).items():
