@@ -17,10 +17,12 @@ deviations, and at least ``above`` or ``below`` nats a byte.
 from __future__ import annotations
 
 import functools
+import io
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,31 +95,46 @@ def _by_language(langs: list, take: np.ndarray) -> Iterator[tuple[str, list[int]
     yield from found.items()
 
 
+class _Zipped(io.RawIOBase):
+    """A sink that holds what is written to it compressed."""
+
+    def __init__(self) -> None:
+        self.parts, self.zip = [], zstandard.ZstdCompressor(level=6).compressobj()
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.parts.append(self.zip.compress(data))
+        return len(data)
+
+    def bytes(self) -> bytes:
+        return b"".join([*self.parts, self.zip.flush()])
+
+
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the task in blocks of about ``BLOCK`` bytes: number and compressed Arrow stream of each."""
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    number, size, sink, writer = TaskContext.get().partitionId() << 32, 0, None, None
 
     def out() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema) as w:
-            for part in held:
-                w.write_batch(part)
-        stream = sink.getvalue()
-        small = pa.Codec("zstd", compression_level=6).compress(stream, asbytes=True)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([stream.size], pa.int64()), pa.array([small], pa.binary())], names=["block", "size", "rows"])
+        writer.close()
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.bytes()], pa.binary())], names=["block", "rows"])
 
     for part in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-        held.append(part)
+        if sink is None:
+            sink = _Zipped()
+            writer = pa.ipc.new_stream(pa.PythonFile(sink, "w"), part.schema)
+        writer.write_batch(part)
         size += part.nbytes
         if size >= BLOCK:
             yield out()
-            number, held, size = number + 1, [], 0
-    if held:
+            number, size, sink = number + 1, 0, None
+    if sink is not None:
         yield out()
 
 
-def _unpacked(size: int, rows: bytes) -> Iterator[pa.RecordBatch]:
-    yield from pa.ipc.open_stream(pa.decompress(rows, size, "zstd"))
+def _unpacked(rows: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(pa.PythonFile(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(rows)), "r"))
 
 
 def _merged(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +147,9 @@ def _merged(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count(carried: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block's distinct n-grams of all texts to score, with their counts in texts that are learned from (0: in none)."""
     for b in batches:
-        for block, *rows in zip(*(b.column(i).to_pylist() for i in range(3))):
+        for block, rows in zip(*(b.column(i).to_pylist() for i in range(2))):
             held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            parts = (pa.RecordBatch.from_arrays([r.column(carried), r.column(carried + 1)], names=["text", "lang"]) for r in _unpacked(*rows))
+            parts = (pa.RecordBatch.from_arrays([r.column(carried), r.column(carried + 1)], names=["text", "lang"]) for r in _unpacked(rows))
             for texts, langs in chunks(parts, 0, 1 << 20):
                 raw = [(t or "").encode() for t in texts]
                 found = stats(raw)
@@ -261,7 +278,7 @@ def _score_block(carried: int, packed: pa.Table, values: pa.Table) -> pa.Table:
     langs = values["lang"].combine_chunks().dictionary_encode() if values.num_rows else None
     names = np.array(langs.dictionary.to_pylist(), object)[langs.indices.to_numpy()] if langs is not None else np.zeros(0, object)
     model = Model(names, values["g"].to_numpy(), values["logp"].to_numpy())
-    return pa.Table.from_batches([s for rows in zip(packed["size"].to_pylist(), packed["rows"].to_pylist()) for s in _score(model, carried, _unpacked(*rows))])
+    return pa.Table.from_batches([s for rows in packed["rows"].to_pylist() for s in _score(model, carried, _unpacked(rows))])
 
 
 def judge(df: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", spread: float = 8.0, above: float = 0.5, below: float = 1.0) -> DataFrame:
@@ -275,7 +292,7 @@ def judge(df: DataFrame, carry: list[str], text_col: str = "text", lang_col: str
     fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("nll", T.DoubleType())]
     rows = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(carry)], df[text_col].alias("text"), df[lang_col].cast("string").alias("lang_"))
     # numbers of blocks stay as they are from here on; texts are not shuffled, only probabilities are, to the buckets of their blocks
-    packed = bucketed(rows.mapInArrow(_packed, "block long, size long, rows binary"), "packed", "block")
+    packed = bucketed(rows.mapInArrow(_packed, "block long, rows binary"), "packed", "block")
     grams = written(packed.mapInArrow(functools.partial(_count, len(carry)), "block long, lang string, g long, c long"), "grams")
     logs = written(log_probabilities(written(grams.groupBy("lang", "g").agg(F.sum("c").alias("c")), "counts")), "logs")
     values = grams.select("block", "lang", "g").join(logs, ["lang", "g"]).select("block", "lang", "g", "logp")
