@@ -345,12 +345,21 @@ def test_warc_of_repeated_and_null_ids(spark, tmp_path):
         assert r.page_id != 7 or pages[r.capture.refers_to] == 9
 
 
-def test_ann_by_blocks_of_queries(spark):
-    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(5).normal(size=(600, 4)))]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    asked = df.where("vec_id % 10 = 0")
-    whole, cut = (sorted(map(tuple, ann.search(df, asked, shard_rows=200, query_rows=n).collect())) for n in (1000, 7))
-    assert whole == cut and len(cut) == 600
+def test_ann_skips_shards(spark):
+    """Queries meet the shards near to them, not all: clusters far apart are never compared, also where one point has half of all rows."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(150, 4)) + 100 * c for c in range(8)] + [np.full((1200, 4), 900.0)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 10 = 0"), shard_rows=150, leaf=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q, found in got.items():
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        assert found == [int(i) for i in np.lexsort((np.arange(len(v)), d)) if i != q][:10]
+    assert len(got) == 240
+    router = ann.fitted(ann.usable(df, "vec_id", "embedding"), 16)
+    inside = [(router.least(x) <= 10).sum() for x in v[:1200:7]]
+    assert np.mean(inside) < 8 and all(router.least(x)[n] == 0 for x, n in zip(v, router.leaf(v)))
 
 
 @pytest.mark.parametrize("factor", [1.0, 1.5])
