@@ -58,9 +58,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = written(warc.read(spark, path, bodies=False), "records")
     captures = warc.captures(records, with_body=False)
     flat = captures.select("record_id", "page_id", F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.digest").alias("payload_digest"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("target_id"))
-    flat = written(flat, "captures")
-    targets = flat.where("record_type = 'response'").select(F.col("record_id").alias("target_id"), F.col("page_id").alias("refers_to"))
-    return flat.join(targets, "target_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.resolved(written(flat, "captures")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_OP7 = """

@@ -325,10 +325,12 @@ def test_warc(spark, tmp_path):
     for p in pages.collect():
         body = (p.html or "").encode()
         c = got[p.page_id].capture
-        assert c.payload_bytes == len(body) and c.digest == hashlib.sha1(body).hexdigest()
+        assert c.payload_bytes == (None if p.page_id == 1 else len(body)) and c.digest == hashlib.sha1(body).hexdigest()
         assert c.record_type == ("revisit" if p.page_id == 1 else "response")
         assert c.record_type == "revisit" or bytes(c.body) == body
         assert got[p.page_id].request.text.startswith("GET ")
+    flat = warc.captures(warc.read(spark, str(tmp_path / "w"), bodies=False), with_body=False).select("record_id", "page_id", "capture.payload_bytes", "capture.record_type", F.col("capture.refers_to").alias("target_id"))
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in warc.resolved(flat).collect()} == {(p.page_id, len((p.html or "").encode()), 2 if p.page_id == 1 else None) for p in pages.collect()}
     warc.write(pages.limit(0), str(tmp_path / "e"))
 
 
