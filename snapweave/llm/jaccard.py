@@ -130,54 +130,70 @@ def _segments(k: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), outer], names=["key", "n", "segments"])
 
 
+def _rows(rows: list[tuple], names: list[str]) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.table({n: pa.array(c, pa.int32() if n == "bucket" else pa.binary()) for n, c in zip(names, cols)})
+
+
+def _column(group: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+
+_DEALT, _GRADED = ["bucket", "shingles", "keys", "counts", "sizes"], ["bucket", "codes", "keys", "counts", "sizes"]
+
+
 def _deal(buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All shingles of a few sets, a row per bucket, as bytes; each set's follow one another, with their number in ``counts``."""
+    """All shingles of a few sets, a row per bucket of shingles, as bytes; each set's follow one another, with their number in ``counts`` and the set's in ``sizes``."""
     for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-        keys = b.column("key").to_numpy().astype("<i8")
+        keys, n = b.column("key").to_numpy().astype("<i8"), b.column("n").to_numpy()
         lists = b.column("segments")
         shingles = lists.flatten().flatten().to_numpy().astype("<i8")
         place = (shingles.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        own = np.repeat(np.arange(len(keys)), b.column("n").to_numpy())
+        own = np.repeat(np.arange(len(keys)), n)
         order = np.lexsort((own, place))
         place, own, shingles = place[order], own[order], shingles[order]
         starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])])[: len(place)])
-        counts, whose = np.diff(np.append(starts, len(place))).astype("<u4"), keys[own[starts]]
+        counts, whose, sizes = np.diff(np.append(starts, len(place))).astype("<u4"), keys[own[starts]], n[own[starts]].astype("<i8")
         cuts = np.searchsorted(place, np.arange(buckets + 1))
         runs = np.searchsorted(place[starts], np.arange(buckets + 1))
-        rows = [(i, shingles[cuts[i] : cuts[i + 1]].tobytes(), whose[runs[i] : runs[i + 1]].tobytes(), counts[runs[i] : runs[i + 1]].tobytes()) for i in range(buckets) if cuts[i] < cuts[i + 1]]
-        cols = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32()] + [pa.binary()] * 3)], names=["bucket", "shingles", "keys", "counts"])
+        rows = [(i, shingles[cuts[i] : cuts[i + 1]].tobytes(), *[x[runs[i] : runs[i + 1]].tobytes() for x in (whose, counts, sizes)]) for i in range(buckets) if cuts[i] < cuts[i + 1]]
+        yield from _rows(rows, _DEALT).to_batches()
 
 
-def _grade(group: pa.Table) -> pa.Table:
-    """One bucket: the codes of each set's shingles that other sets have as well.
+def _grade(buckets: int, group: pa.Table) -> pa.Table:
+    """One bucket of shingles: the codes of each set's shingles that other sets have as well, a row per bucket of sets.
 
     A code is a grade of how many sets have the shingle (up to 63 as it is, then four steps for
     each doubling) before 56 bits of the shingle: codes are ordered from rare to frequent.
     """
-    shingles, keys, counts = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("shingles", "<i8"), ("keys", "<i8"), ("counts", "<u4")))
+    shingles, keys, counts, sizes = (_column(group, c, t) for c, t in (("shingles", "<i8"), ("keys", "<i8"), ("counts", "<u4"), ("sizes", "<i8")))
     _, which, df = np.unique(shingles, return_inverse=True, return_counts=True)
     grades = np.where(df < 64, df, np.minimum(127, np.floor(4 * np.log2(df)) + 40)).astype(np.int64)
     shared = df[which] > 1
     codes = (grades[which] << 56 | shingles & ((1 << 56) - 1))[shared]
     own = np.repeat(np.arange(len(keys)), counts)[shared]
-    cuts = (8 * np.searchsorted(own, np.arange(len(keys) + 1))).tolist()
-    data = codes.astype("<i8").tobytes()
-    return pa.table({"key": keys, "codes": pa.array([data[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())})
-
-
-def _postings(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets with the lists of their codes: the codes in each prefix, their places, and the mean grade of the set."""
-    for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-        out = []
-        for key, n, lists in zip(*(b.column(c).to_pylist() for c in ("key", "n", "codes"))):
-            codes = np.sort(np.frombuffer(b"".join(lists), "<i8"))
-            unique = n - len(codes)
-            codes_in = codes[: max(0, n - -(-percent * n // 100) + 1 - unique)]
-            weight = float((codes >> 56).sum() + unique) / n
-            out.append((np.full(len(codes_in), key), np.full(len(codes_in), n), np.full(len(codes_in), weight), np.arange(len(codes_in)) + 1 + unique, codes_in))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["key", "n", "weight", "place", "shingle"])
+    place = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    by_run, by_code = np.argsort(place, kind="stable"), np.argsort(place[own], kind="stable")
+    runs = np.searchsorted(place[by_run], np.arange(buckets + 1))
+    cuts = np.searchsorted(place[own][by_code], np.arange(buckets + 1))
+    counts = np.bincount(own, minlength=len(keys)).astype("<u4")
+    codes, keys, counts, sizes = codes[by_code].astype("<i8"), keys[by_run], counts[by_run], sizes[by_run]
+    return _rows([(i, codes[cuts[i] : cuts[i + 1]].tobytes(), *[x[runs[i] : runs[i + 1]].tobytes() for x in (keys, counts, sizes)]) for i in range(buckets) if cuts[i] < cuts[i + 1]], _GRADED)
+
+
+def _postings(percent: int, group: pa.Table) -> pa.Table:
+    """One bucket of sets: the codes in each set's prefix, their places, and the mean grade of the set."""
+    codes, keys, counts, sizes = (_column(group, c, t) for c, t in (("codes", "<i8"), ("keys", "<i8"), ("counts", "<u4"), ("sizes", "<i8")))
+    own = np.repeat(np.arange(len(keys)), counts)
+    order = np.lexsort((codes, keys[own]))
+    codes, key, n = codes[order], keys[own][order], sizes[own][order]
+    _, first, which, m = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    unique = n - m[which]  # shingles that no other set has come first
+    place = np.arange(len(codes)) - first[which] + 1 + unique
+    inside = place <= n - -(-percent * n // 100) + 1
+    grades = np.bincount(which, (codes >> 56).astype(float), minlength=len(m))[which] if len(codes) else np.zeros(0)
+    weight = (grades + unique) / np.maximum(n, 1)
+    return pa.table({k: pa.array(x[inside]) for k, x in (("key", key), ("n", n), ("weight", weight), ("place", place), ("shingle", codes))})
 
 
 def _links(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -202,7 +218,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     such rows only has a null name. Repeated rows give repeated results. Other columns are ignored.
     """
     rows = groups(df, id_col, text_col, k, percent)
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = written(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")  # else AQE can't split a large component
     named = rows.join(least, "component", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -230,10 +246,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     found = written(found.groupBy("key").agg(F.first("n").alias("n"), F.first("segments").alias("segments")), "segments")
 
     buckets = max(1, -(-(found.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
-    dealt = found.mapInArrow(functools.partial(_deal, buckets), "bucket int, shingles binary, keys binary, counts binary")
-    coded = dealt.groupBy("bucket").applyInArrow(_grade, "key long, codes binary")
-    lists = coded.groupBy("key").agg(F.collect_list("codes").alias("codes"))  # at most a text long
-    posts = lists.join(found.select("key", "n"), "key").mapInArrow(functools.partial(_postings, percent), "key long, n long, weight double, place long, shingle long")
+    schema = ", ".join(f"{n} {'int' if n == 'bucket' else 'binary'}" for n in _DEALT)
+    dealt = found.mapInArrow(functools.partial(_deal, buckets), schema)
+    grade, post = functools.partial(_grade, buckets), functools.partial(_postings, percent)
+    graded = dealt.groupBy("bucket").applyInArrow(lambda g: grade(g), schema.replace("shingles", "codes"))
+    posts = graded.groupBy("bucket").applyInArrow(lambda g: post(g), "key long, n long, weight double, place long, shingle long")
     posts = written(posts, "postings")
 
     def can(other: str):
