@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marked = _marked(docs)
     found = jaccard.groups(marked, mark_col=_MARK).where("component is not null").select("component", "doc_id", F.col("mark").alias(_MARK))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", _MARK)
-    first = found.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    first = written(found.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "first")
     members = written(found.join(first, "component").select(_MARK, (place == F.col("first")).alias("stays")), "members")
     rest = anti_join(marked, written(members.where("not stays").select(_MARK).distinct(), "gone"), _MARK)
     # rows that are equal in id and text are one document: one of them stays
