@@ -1,8 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams.
 
 Features are the 1- and 2-grams of a text's words and of the words' shapes
-(classes of characters, runs merged), and the 2-gram
-of any word and itself, hashed to ``2**BITS`` weights and weighted
+(classes of characters, runs merged), hashed to ``2**BITS`` weights and weighted
 ``log(1 + count)``, scaled to unit length. Training follows the regularised
 leader (FTRL-proximal): each of ``SHARDS`` tasks makes ``epochs`` passes over its
 rows, and the shards' weights are averaged. A score is the sigmoid of a sparse
@@ -53,9 +52,6 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         same = doc[1:] == doc[:-1]
         docs += [doc, doc[1:][same]]
         hashes += [h, two[same]]
-    again = (doc[1:] == doc[:-1]) & (word[1:] == word[:-1])  # the 2-gram of a word and itself, whatever the word
-    docs.append(doc[1:][again])
-    hashes.append(np.full(int(again.sum()), 0x5851F42D4C957F2D, np.uint64))
     docs.append(np.arange(len(texts)))
     slot = np.concatenate([(np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.zeros(len(texts), np.int64)])
     both = np.sort(np.concatenate(docs) << BITS | slot)
@@ -96,7 +92,7 @@ def _train(options: dict, part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": at, "weight": w[at]})
 
 
-def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = TRAIN_ROWS, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> np.ndarray:
+def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most: int = TRAIN_ROWS, epochs: int = 10, alpha: float = 4.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.001) -> np.ndarray:
     """Weights learnt from ``rows``; at most about ``most`` of them, chosen by a hash of their id. Rows with a null label or id are left out; a null text is empty."""
     ids = rows.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("double").alias("label"))
     options = {"epochs": epochs, "alpha": alpha, "beta": beta, "l1": l1, "l2": l2}
