@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -49,18 +51,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker stays for the next task, beside the executor's JVM, and would keep the most that it ever had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the C library on Linux only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[list[list]]:
     """Columns of consecutive rows as lists, cut so that the texts of one chunk stay near ``most`` characters."""
-    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-        cols = [c.to_pylist() for c in batch.columns]
-        start = size = 0
-        for i, t in enumerate(cols[text]):
-            size += len(t or "")
-            if size >= most:
-                yield [c[start : i + 1] for c in cols]
-                start, size = i + 1, 0
-        if start < len(cols[text]):
-            yield [c[start:] for c in cols]
+    try:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            cols = [c.to_pylist() for c in batch.columns]
+            start = size = 0
+            for i, t in enumerate(cols[text]):
+                size += len(t or "")
+                if size >= most:
+                    yield [c[start : i + 1] for c in cols]
+                    start, size = i + 1, 0
+            if start < len(cols[text]):
+                yield [c[start:] for c in cols]
+    finally:
+        give_back()
 
 
 def text_bytes(col: str | Column) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapweave.llm._common import bitmap_filter, chunks, semi_join, written
+from snapweave.llm._common import bitmap_filter, chunks, give_back, semi_join, written
 from snapweave.llm._words import mix, shingles
 from snapweave.llm.graph import components
 
@@ -116,6 +116,8 @@ def _meet(group: pa.Table) -> pa.Table:
         hit = shared[np.cumsum(new) - 1]
     names, n = np.unique(key[hit], return_counts=True)
     keys, local = column("keys", "<i8"), column("local", "<i8")
+    del shingle, key, hit, order
+    give_back()
     return pa.table({"key": np.concatenate([names, keys]), "shared": np.concatenate([n, local])})
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapweave.llm._common import bucketed, chunks, written
+from snapweave.llm._common import bucketed, chunks, give_back, written
 from snapweave.llm._words import _SPACE, mix, words
 
 ORDER = 5
@@ -131,6 +131,8 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, size, sink = number + 1, 0, None
     if sink is not None:
         yield out()
+    sink = writer = None
+    give_back()
 
 
 def _unpacked(rows: bytes) -> Iterator[pa.RecordBatch]:
@@ -278,7 +280,9 @@ def _score_block(carried: int, packed: pa.Table, values: pa.Table) -> pa.Table:
     langs = values["lang"].combine_chunks().dictionary_encode() if values.num_rows else None
     names = np.array(langs.dictionary.to_pylist(), object)[langs.indices.to_numpy()] if langs is not None else np.zeros(0, object)
     model = Model(names, values["g"].to_numpy(), values["logp"].to_numpy())
-    return pa.Table.from_batches([s for rows in packed["rows"].to_pylist() for s in _score(model, carried, _unpacked(rows))])
+    out = pa.Table.from_batches([s for rows in packed["rows"].to_pylist() for s in _score(model, carried, _unpacked(rows))])
+    give_back()
+    return out
 
 
 def judge(df: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", spread: float = 8.0, above: float = 0.5, below: float = 1.0) -> DataFrame:
