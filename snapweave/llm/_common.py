@@ -26,8 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Folders and tables of intermediate results that this driver has written so far.
+_left: list[tuple[str, str | None]] = []
+
+
+def new_path(spark: SparkSession, name: str, own: str | None = None) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.append((path, own))
+    return path
+
+
+def mark() -> int:
+    """How many intermediate results there are so far."""
+    return len(_left)
+
+
+def release(spark: SparkSession, since: int, keep: Iterable[str] = ()) -> None:
+    """Deletes the intermediate results written after ``mark`` gave ``since``, but for the folders to ``keep``; call it when all that was computed from them is stored."""
+    kept = []
+    while len(_left) > since:
+        path, own = _left.pop()
+        if path in keep:
+            kept.append((path, own))
+            continue
+        if own:
+            spark.sql(f"DROP TABLE IF EXISTS {own}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _left.extend(kept)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,8 +67,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """``df`` written to the shared folder in buckets of ``key``, and read again: where it meets something else by ``key``, only the other side is shuffled."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    own = path.rsplit("/", 1)[1].replace("-", "_")
+    own = f"{name}_{uuid.uuid4().hex}"
+    path = new_path(spark, name, own)
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(own)
     return spark.table(own)
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -555,7 +556,11 @@ def test_pipeline(spark, tmp_path, docs):
     ids = collections.Counter(r.doc_id for r in before.collect())
     assert 90 not in ids and 91 not in ids and 92 not in ids and None in ids and len(ids) > 20
     assert {r.doc_id for r in docs.collect()} == set(ids)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    n = docs.count()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    left = {x.rsplit("-", 1)[0] for x in os.listdir(shared)}
+    assert out.count() == n and "private_data" in left and not left & {"near_duplicates", "packed", "segments", "entities"}
 
 
 def kept_by_rules(before, after):
@@ -638,3 +643,54 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     kept_of_groups(before.where("text <> ''"), after.where("text <> ''"))
     assert corpus_pipeline.near_duplicates(spark, before.limit(0), "").count() == 0
     assert corpus_pipeline.quality_rules(spark, before, "").count() >= 0
+
+
+def test_null_ids_long_texts_and_clashing_names(spark):
+    """The operators on whole documents, over rows with null and repeated ids, texts of some hundred thousand characters with and without spaces, and columns named as theirs."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(13)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(10**5)) for _ in range(40000))
+    solid = "".join(rng.choice("abcdeé漢") for _ in range(200000))
+    rows = [(None, long), (None, None), (None, solid), (5, solid), (5, "five"), (6, long[:150000]), (7, ""), (7, ""), (8, "a " * 20), (9, long + " and more")]
+    names = ["t", "c0", "c1", "n", "key", "bucket", "anchor", "block", "size", "part", "mark", "kind", "value", "leaf"]
+    df = frame(spark, rows)
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    bpe_lib, word_lib = Tokenizer.from_file(BYTE_BPE), Tokenizer.from_file(WORD_BPE)
+    want = collections.Counter()
+    for i, text in rows:
+        ids = bpe_lib.encode(text or "", add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()] += 1
+    assert collections.Counter(tuple(r)[:3] for r in bpe.encode(df, BYTE_BPE).collect()) == want
+    pieces = collections.Counter()
+    for i, text in rows:
+        ids = [*word_lib.encode(text or "", add_special_tokens=False).ids, 2]
+        for k in range(0, len(ids), 4096):
+            part = np.array(ids[k : k + 4096], "<u4").tobytes()
+            pieces[i, k, len(part) // 4, zlib.crc32(part), len(ids)] += 1
+    got = packing.pack(df, WORD_BPE).collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == pieces
+    seen, gone_of = set(), {}
+    order = sorted({((i is not None, i or 0), zlib.crc32((t or "").encode())): (t or "").encode() for i, t in rows}.items())
+    for key, b in order:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            h = hash(b[k : k + 100])
+            if h in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(h)
+        gone_of[key] = sum(gone)
+    cut = collections.Counter((r.doc_id, r.n_bytes, r.n_removed) for r in substrings.remove(df, ("key",)).collect())
+    assert cut == collections.Counter((i, len((t or "").encode()), gone_of[(i is not None, i or 0), zlib.crc32((t or "").encode())]) for i, t in rows)
+    found = jaccard.join(df).collect()
+    linked = {(r.doc_id, r.n_shingles): r.component_id for r in found}
+    largest = max(r.n_shingles for r in found)
+    assert len(found) == len(rows) and linked[None, 1] == linked[5, 1] == 5 and linked[9, largest] == 9
+    assert {r.component_id for r in found if r.n_shingles > largest - 5} == {9}
+    judged = quality.judge(df, ["doc_id", "key", "block"])
+    assert collections.Counter((r.doc_id, r.n_words) for r in judged.collect()) == collections.Counter((i, brute_stats(t)[0]) for i, t in rows)
+    replaced = pii.replace(df, carry=("doc_id", "kind", "value"))
+    assert collections.Counter((r.doc_id, len(r.text or "")) for r in replaced.collect()) == collections.Counter((i, len(t or "")) for i, t in rows)
+    scored = classifier.train_and_score(df, spark.createDataFrame([(5, 1, "x"), (6, 0, "y"), (8, 0, "z")], "doc_id long, quality int, label string"))
+    assert scored.count() == len(rows)
