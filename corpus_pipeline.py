@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.llm import jaccard, packing, pii, quality, substrings
-from snapweave.llm._common import anti_join, bitmap_filter, table, written
+from snapweave.llm._common import anti_join, bitmap_filter, mark, new_path, release, table, written
 
 _MARK = "mark_of_text_"
 
@@ -71,8 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over ``documents``, each written and read again; what a stage leaves in the shared folder besides goes once its rows are stored."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        release(spark, since, keep=[path])
     return STAGES[-1][1](spark, docs, sf_dir)
