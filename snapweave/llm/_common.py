@@ -26,11 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch: Spark's default of 10,000 is for narrow rows; of whole texts so many need tens of MB in the JVM and in Python at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Folders and tables of intermediate results that this driver has written so far.
 _left: list[tuple[str, str | None]] = []
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the rows of Arrow batches for this session, where they have the default."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str, own: str | None = None) -> str:
+    _small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _left.append((path, own))
     return path
@@ -74,6 +84,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
